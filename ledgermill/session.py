@@ -30,6 +30,9 @@ def get_spark(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split a hot join key even where that costs one more shuffle.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+        # Hash joins instead of sorting, where every part of one side is this small.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(TASK_BYTES),
         # A task writing a few partitions keeps a file open for each; no sort.
         "spark.sql.maxConcurrentOutputFileWriters": "16",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
