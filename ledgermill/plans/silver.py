@@ -11,7 +11,7 @@ from ledgermill.contracts import FOREIGN_KEYS
 from ledgermill.functions.casts import day, key, money, rate, text, whole
 from ledgermill.functions.keys import UNKNOWN_TEXT
 from ledgermill.operators.dedup import exact_dedup
-from ledgermill.operators.foreign_keys import OK, mark_orphans, orphan_keys
+from ledgermill.operators.foreign_keys import OK, QUARANTINE, mark_orphans, orphan_keys
 from ledgermill.operators.union import union_all
 
 
@@ -154,10 +154,11 @@ def ok_rows(cleaned: DataFrame) -> DataFrame:
 
 
 def source_row_counts(cleaned: Mapping[str, DataFrame]) -> DataFrame:
-    """Manifest of the source rows that silver and quarantine stand for."""
+    """Manifest of the source rows that silver and quarantine together stand for."""
+    placed = F.when(F.col("row_status").isin(OK, QUARANTINE), F.col("source_rows"))
     return union_all(
         *(
-            df.agg(F.coalesce(F.sum("source_rows"), F.lit(0)).alias("n_rows")).select(
+            df.agg(F.coalesce(F.sum(placed), F.lit(0)).alias("n_rows")).select(
                 F.lit(table).alias("table"), "n_rows"
             )
             for table, df in cleaned.items()
