@@ -7,7 +7,9 @@ the two can be held against each other. Spark never runs these.
 from __future__ import annotations
 
 _SILVER = {
-    "region": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, trim(r_name) AS r_name FROM region",
+    "region": (
+        "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, trim(r_name) AS r_name FROM region"
+    ),
     "nation": (
         "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, trim(n_name) AS n_name, "
         "CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"

@@ -6,8 +6,9 @@ facts built from the typed source tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +17,12 @@ from ledgermill.functions.amounts import with_amounts
 from ledgermill.operators.dedup import dedup_latest, exact_dedup
 from ledgermill.operators.foreign_keys import split_fk
 from ledgermill.plans import analytics, gold, quality
-from ledgermill.plans.bronze import ingest, manifest, source_tables
+from ledgermill.plans.bronze import ingest, manifest
 from ledgermill.plans.silver import (
     SILVER,
     clean_tables,
     latest_line_order,
     silver_geography,
-    typed_tables,
 )
 from ledgermill.sources.layers import read_source
 
@@ -32,12 +32,56 @@ Query = Callable[[SparkSession, str], DataFrame]
 _ANY_RUN = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Chain:
-    """Layer tables in memory, built when asked for."""
+    """The layers of one source directory, in memory."""
 
     def __init__(self, spark: SparkSession, src_dir: str):
-        self.bronze = source_tables(spark, src_dir)
-        self.silver = typed_tables(self.bronze)
+        self.bronze = Tables(
+            {table: partial(read_source, spark, src_dir, table) for table in SOURCE_TABLES}
+        )
+        self.silver = Tables({table: partial(self._typed, table) for table in SOURCE_TABLES})
+        self.gold = Tables(
+            {
+                "dim_date": lambda: gold.dim_date(
+                    self.silver["orders"], self.silver["lineitem"]
+                ),
+                "dim_customer": lambda: gold.dim_customer(
+                    self.silver["customer"], self.geography
+                ),
+                "dim_product": lambda: gold.dim_product(self.silver["part"]),
+                "dim_supplier": lambda: gold.dim_supplier(
+                    self.silver["supplier"], self.geography
+                ),
+                "fact_orders": lambda: gold.fact_orders(
+                    self.silver["orders"], self.gold["dim_customer"]
+                ),
+                "fact_sales": lambda: gold.fact_sales(
+                    self.silver["lineitem"], self.gold["fact_orders"]
+                ),
+            }
+        )
+
+    def _typed(self, table: str) -> DataFrame:
+        return SILVER[table](self.bronze[table])
 
     @property
     def cleaned(self) -> dict[str, DataFrame]:
@@ -48,47 +92,15 @@ class Chain:
         return silver_geography(self.silver["nation"], self.silver["region"])
 
     @property
-    def dim_date(self) -> DataFrame:
-        return gold.dim_date(self.silver["orders"], self.silver["lineitem"])
-
-    @property
-    def dim_customer(self) -> DataFrame:
-        return gold.dim_customer(self.silver["customer"], self.geography)
-
-    @property
-    def dim_product(self) -> DataFrame:
-        return gold.dim_product(self.silver["part"])
-
-    @property
-    def dim_supplier(self) -> DataFrame:
-        return gold.dim_supplier(self.silver["supplier"], self.geography)
-
-    @property
-    def fact_orders(self) -> DataFrame:
-        return gold.fact_orders(self.silver["orders"], self.dim_customer)
-
-    @property
-    def fact_sales(self) -> DataFrame:
+    def fact_sales_looked_up(self) -> DataFrame:
+        """Sales facts of lines whose part and supplier were not checked before."""
         return gold.fact_sales(
-            self.silver["lineitem"], self.fact_orders, self.dim_product, self.dim_supplier
+            self.silver["lineitem"],
+            self.gold["fact_orders"],
+            self.gold["dim_product"],
+            self.gold["dim_supplier"],
         )
 
-    @property
-    def sales(self) -> DataFrame:
-        """Sales facts for queries that ask for neither product nor supplier."""
-        return gold.fact_sales(self.silver["lineitem"], self.fact_orders)
-
-    @property
-    def gold(self) -> dict[str, DataFrame]:
-        return {
-            "dim_date": self.dim_date,
-            "dim_customer": self.dim_customer,
-            "dim_product": self.dim_product,
-            "dim_supplier": self.dim_supplier,
-            "fact_orders": self.fact_orders,
-            "fact_sales": self.sales,
-        }
-
 
 def _bronze(table: str) -> Query:
     def query(spark: SparkSession, src_dir: str) -> DataFrame:
@@ -117,6 +129,30 @@ def _orders_with_lines(chain: Chain) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _gold(table: str) -> Query:
+    return _chained(lambda chain: chain.gold[table])
+
+
+def _report(report: Callable[..., DataFrame], *tables: str) -> Query:
+    return _chained(lambda chain: report(*(chain.gold[table] for table in tables)))
+
+
+# Each report and the gold tables it is given.
+_REPORTS = (
+    (analytics.revenue_monthly, "fact_sales", "dim_date"),
+    (analytics.revenue_rollup, "fact_orders", "dim_date"),
+    (analytics.revenue_cube, "fact_sales"),
+    (analytics.revenue_yoy, "fact_sales", "dim_date"),
+    (analytics.revenue_ytd, "fact_sales", "dim_date"),
+    (analytics.revenue_moving_3m, "fact_sales", "dim_date"),
+    (analytics.top_customers, "fact_sales", "dim_date", "dim_customer"),
+    (analytics.customer_pareto, "fact_orders", "dim_customer"),
+    (analytics.customer_recency, "fact_orders", "dim_customer"),
+    (analytics.gross_to_net, "fact_sales", "dim_date"),
+    (analytics.status_pivot, "fact_orders", "dim_date"),
+)
+
+
 def _build() -> dict[str, Query]:
     queries: dict[str, Query] = {"bronze_ingest": _bronze("lineitem")}
     queries |= {
@@ -147,29 +183,16 @@ def _build() -> dict[str, Query]:
         "dq_row_recon": lambda c: quality.dq_row_recon(c.silver, c.gold),
         "dq_date_coverage": lambda c: quality.dq_date_coverage(c.gold),
         "dq_summary": lambda c: quality.dq_summary(c.bronze, c.cleaned, c.silver, c.gold),
-        "dim_date": lambda c: c.dim_date,
-        "dim_customer": lambda c: c.dim_customer,
-        "dim_product": lambda c: c.dim_product,
-        "dim_supplier": lambda c: c.dim_supplier,
-        "fact_sales": lambda c: c.fact_sales,
-        "fact_orders": lambda c: c.fact_orders,
-        "revenue_monthly": lambda c: analytics.revenue_monthly(c.sales, c.dim_date),
-        "revenue_rollup": lambda c: analytics.revenue_rollup(c.fact_orders, c.dim_date),
-        "revenue_cube": lambda c: analytics.revenue_cube(c.sales),
-        "revenue_yoy": lambda c: analytics.revenue_yoy(c.sales, c.dim_date),
-        "revenue_ytd": lambda c: analytics.revenue_ytd(c.sales, c.dim_date),
-        "revenue_moving_3m": lambda c: analytics.revenue_moving_3m(c.sales, c.dim_date),
-        "top_customers": lambda c: analytics.top_customers(
-            c.sales, c.dim_date, c.dim_customer
-        ),
-        "customer_pareto": lambda c: analytics.customer_pareto(c.fact_orders, c.dim_customer),
-        "customer_recency": lambda c: analytics.customer_recency(
-            c.fact_orders, c.dim_customer
-        ),
-        "gross_to_net": lambda c: analytics.gross_to_net(c.sales, c.dim_date),
-        "status_pivot": lambda c: analytics.status_pivot(c.fact_orders, c.dim_date),
+        "fact_sales": lambda c: c.fact_sales_looked_up,
+    }
+    queries |= {name: _chained(build) for name, build in chained.items()}
+    queries |= {
+        name: _gold(name)
+        for name in ("dim_date", "dim_customer", "dim_product", "dim_supplier", "fact_orders")
+    }
+    return queries | {
+        report.__name__: _report(report, *tables) for report, *tables in _REPORTS
     }
-    return queries | {name: _chained(build) for name, build in chained.items()}
 
 
 QUERIES = _build()

@@ -7,8 +7,12 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# How much shuffled data one task should hold before adaptive execution resizes it.
+# How much data a task should get.
 TASK_BYTES = 128 * 1024 * 1024
+# Each scan task keeps a record of each shuffle partition, so for very large inputs
+# tasks grow instead of becoming more.
+MAX_SCAN_TASKS = 100_000
+MAX_SHUFFLE_PARTITIONS = 20_000
 
 
 def get_spark(
@@ -19,9 +23,10 @@ def get_spark(
 ) -> SparkSession:
     """Session for the jobs.
 
-    ``input_bytes`` is the size of the source tables. It sets how many shuffle
-    partitions adaptive execution starts from; it then merges those that turn
-    out small. Without it Spark's own default applies.
+    ``input_bytes`` is the size of the source tables. It sets how large a piece of
+    a file each task reads, and how many shuffle partitions adaptive execution
+    starts from; it then merges those that turn out small. Without it Spark's own
+    defaults apply.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",
@@ -39,7 +44,12 @@ def get_spark(
     }
     if input_bytes is not None:
         partitions = max(200, math.ceil(input_bytes / TASK_BYTES))
-        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(partitions)
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
+            min(partitions, MAX_SHUFFLE_PARTITIONS)
+        )
+        settings["spark.sql.files.maxPartitionBytes"] = str(
+            max(TASK_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))
+        )
     settings.update(conf or {})
 
     builder = SparkSession.builder.appName(app_name)

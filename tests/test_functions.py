@@ -74,7 +74,8 @@ def test_date_keys_there_and_back(spark):
 
 
 def test_unknown_member_leaves_other_columns_null(spark):
-    df = spark.createDataFrame([(5, "five", Decimal("1.00"))], "k bigint, t string, m decimal(18,2)")
+    schema = "k bigint, t string, m decimal(18,2)"
+    df = spark.createDataFrame([(5, "five", Decimal("1.00"))], schema)
     rows = with_unknown_member(df, k=UNKNOWN_KEY, t="Unknown").orderBy("k").collect()
     assert [tuple(row) for row in rows] == [(-1, "Unknown", None), (5, "five", Decimal("1.00"))]
 

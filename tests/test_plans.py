@@ -72,7 +72,7 @@ def test_only_aggregates_go_to_one_task(spark, small_dir, name):
 
 
 def test_report_reads_only_its_columns(chain):
-    text = plan(analytics.revenue_cube(chain.sales))
+    text = plan(analytics.revenue_cube(chain.gold["fact_sales"]))
     assert columns_read(text, "l_") == {"l_orderkey", "l_extendedprice", "l_discount"}
     assert columns_read(text, "o_") == {"o_orderkey", "o_custkey"}
 
@@ -83,7 +83,7 @@ def test_manifest_reads_no_column(spark, small_dir):
 
 
 def test_calendar_is_broadcast_by_its_estimated_size(chain):
-    text = plan(analytics.revenue_rollup(chain.fact_orders, chain.dim_date))
+    text = plan(analytics.revenue_rollup(chain.gold["fact_orders"], chain.gold["dim_date"]))
     assert re.search(r"BroadcastHashJoin \[order_date_key#\d+\], \[_date_key", text)
 
 
@@ -94,7 +94,11 @@ def test_latest_line_is_limited_before_the_shuffle(spark, small_dir):
 
 
 def test_top_customers_are_limited_before_the_shuffle(chain):
-    text = plan(analytics.top_customers(chain.sales, chain.dim_date, chain.dim_customer))
+    text = plan(
+        analytics.top_customers(
+            chain.gold["fact_sales"], chain.gold["dim_date"], chain.gold["dim_customer"]
+        )
+    )
     assert re.search(r"WindowGroupLimit .*rank\(net_revenue#\d+\), 10, Partial", text)
 
 
@@ -102,7 +106,10 @@ def test_rows_are_not_shuffled_for_written_orphan_keys(spark, chain, tmp_path):
     """The one shuffle of the lines is that of the dedup; orphan keys are broadcast."""
     lines = chain.silver["lineitem"]
     orphans = {}
-    for fk, table, pk in (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey")):
+    for fk, table, pk in (
+        ("l_orderkey", "orders", "o_orderkey"),
+        ("l_partkey", "part", "p_partkey"),
+    ):
         write_layer(orphan_keys(lines, chain.silver[table], fk, pk), str(tmp_path / fk))
         orphans[fk] = read_layer(spark, str(tmp_path / fk))
     text = plan(mark_orphans(exact_dedup(lines, copies="n"), orphans))
@@ -111,8 +118,9 @@ def test_rows_are_not_shuffled_for_written_orphan_keys(spark, chain, tmp_path):
 
 
 def test_many_orphan_keys_are_not_broadcast(spark, chain, tmp_path):
-    write_layer(chain.silver["orders"].select(F.col("o_orderkey").alias("l_orderkey")), str(tmp_path / "k"))
-    orphans = {"l_orderkey": read_layer(spark, str(tmp_path / "k"))}
+    path = str(tmp_path / "keys")
+    write_layer(chain.silver["orders"].select(F.col("o_orderkey").alias("l_orderkey")), path)
+    orphans = {"l_orderkey": read_layer(spark, path)}
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="1000"):
         text = plan(mark_orphans(chain.silver["lineitem"], orphans))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
@@ -143,7 +151,8 @@ def hot_lines(chain):
 
 
 def test_hot_keys_of_sales_are_split(spark, chain, hot_lines):
-    facts = gold.fact_sales(hot_lines, chain.fact_orders, chain.dim_product, chain.dim_supplier)
+    dimensions = (chain.gold[name] for name in ("fact_orders", "dim_product", "dim_supplier"))
+    facts = gold.fact_sales(hot_lines, *dimensions)
     sums = [F.count("*"), F.sum("net_amount"), F.sum(F.col("product_key").cast("decimal(38,0)"))]
     want = facts.agg(*sums).first()
     with settings(spark, **SKEW):
@@ -162,7 +171,7 @@ def test_hot_foreign_key_is_split(spark, chain, hot_lines):
 
 def test_hot_year_is_written_by_several_tasks(spark, chain):
     one_year = (F.col("order_key") % 1 + 2000).cast("int")
-    facts = chain.fact_orders.repartition(8, "order_key").withColumn("order_year", one_year)
+    facts = chain.gold["fact_orders"].repartition(8, "order_key").withColumn("order_year", one_year)
     with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="10k"):
         spread = spread_for_write(facts, "order_year", "order_date_key")
         assert spread.rdd.getNumPartitions() > 1
@@ -170,7 +179,7 @@ def test_hot_year_is_written_by_several_tasks(spark, chain):
 
 def test_year_filter_prunes_files(spark, chain, tmp_path):
     write_layer(
-        spread_for_write(chain.fact_orders, "order_year", "order_date_key"),
+        spread_for_write(chain.gold["fact_orders"], "order_year", "order_date_key"),
         str(tmp_path / "facts"),
         partition_by=["order_year"],
     )
