@@ -35,6 +35,8 @@ SILVER_DDL = {
     ),
 }
 
+GEOGRAPHY_DDL = "n_nationkey bigint, n_name string, r_regionkey bigint, r_name string"
+
 # Columns the cleaning step adds to each silver table.
 CLEANING_DDL = "source_rows bigint, reject_reason string, row_status string"
 
@@ -80,6 +82,10 @@ def cleaned_schema(table: str) -> StructType:
     return StructType.fromDDL(f"{SILVER_DDL[table]}, {CLEANING_DDL}")
 
 
+def geography_schema() -> StructType:
+    return StructType.fromDDL(GEOGRAPHY_DDL)
+
+
 def gold_schema(table: str) -> StructType:
     return StructType.fromDDL(GOLD_DDL[table])
 

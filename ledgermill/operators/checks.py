@@ -114,15 +114,15 @@ def layer_counts(
     expected: DataFrame, actual: DataFrame, layer: str, severity: str = ERROR
 ) -> DataFrame:
     """Compares two manifests; ``failed`` is by how many rows a table differs."""
-    joined = expected.select("table", F.col("n_rows").alias("want")).join(
-        actual.select("table", F.col("n_rows").alias("have")), "table", "full"
+    joined = expected.select("table_name", F.col("n_rows").alias("want")).join(
+        actual.select("table_name", F.col("n_rows").alias("have")), "table_name", "full"
     )
     want, have = F.coalesce("want", F.lit(0)), F.coalesce("have", F.lit(0))
     counts = joined.select(
-        "table", want.alias("total"), F.abs(have - want).alias("failed")
+        "table_name", want.alias("total"), F.abs(have - want).alias("failed")
     )
-    check_id = F.concat(F.lit("layer_counts:"), F.col("table"))
-    return _result(counts, check_id, layer, F.col("table"), severity)
+    check_id = F.concat(F.lit("layer_counts:"), F.col("table_name"))
+    return _result(counts, check_id, layer, F.col("table_name"), severity)
 
 
 def row_recon(

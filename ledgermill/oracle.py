@@ -521,7 +521,7 @@ def _build() -> dict[str, str]:
         if table != "lineitem"
     }
     plain["bronze_manifest"] = " UNION ALL ".join(
-        f"SELECT '{table}' AS \"table\", count(*) AS n_rows FROM {table}" for table in _SILVER
+        f"SELECT '{table}' AS table_name, count(*) AS n_rows FROM {table}" for table in _SILVER
     )
     layered = {f"silver_{table}": f"SELECT * FROM s_{table}" for table in _SILVER}
     layered |= {

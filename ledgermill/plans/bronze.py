@@ -27,7 +27,7 @@ def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(
         *(
             df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-                F.lit(table).alias("table"), "n_rows"
+                F.lit(table).alias("table_name"), "n_rows"
             )
             for table, df in tables.items()
         )

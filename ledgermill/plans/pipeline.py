@@ -6,7 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.contracts import SOURCE_TABLES, cleaned_schema, gold_schema
+from ledgermill.contracts import (
+    SOURCE_TABLES,
+    cleaned_schema,
+    geography_schema,
+    gold_schema,
+)
 from ledgermill.operators.checks import gate
 from ledgermill.operators.union import union_all
 from ledgermill.plans import gold, quality
@@ -54,7 +59,13 @@ def run_pipeline(
 
 
 def _build_gold(silver: dict[str, DataFrame], run: Run) -> dict[str, DataFrame]:
-    geography = silver_geography(silver["nation"], silver["region"])
+    geography = _store(
+        silver_geography(silver["nation"], silver["region"]),
+        run,
+        "silver",
+        "geography",
+        contract=geography_schema(),
+    )
     dimensions = {
         "dim_date": gold.dim_date(silver["orders"], silver["lineitem"]),
         "dim_customer": gold.dim_customer(silver["customer"], geography),

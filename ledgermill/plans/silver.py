@@ -159,7 +159,7 @@ def source_row_counts(cleaned: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(
         *(
             df.agg(F.coalesce(F.sum(placed), F.lit(0)).alias("n_rows")).select(
-                F.lit(table).alias("table"), "n_rows"
+                F.lit(table).alias("table_name"), "n_rows"
             )
             for table, df in cleaned.items()
         )

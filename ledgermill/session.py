@@ -28,6 +28,15 @@ def get_spark(
     starts from; it then merges those that turn out small. Without it Spark's own
     defaults apply.
     """
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    for name, value in (settings_for(input_bytes) | (conf or {})).items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
+
+
+def settings_for(input_bytes: int | None) -> dict[str, str]:
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
@@ -50,14 +59,7 @@ def get_spark(
         settings["spark.sql.files.maxPartitionBytes"] = str(
             max(TASK_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))
         )
-    settings.update(conf or {})
-
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    for name, value in settings.items():
-        builder = builder.config(name, value)
-    return builder.getOrCreate()
+    return settings
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

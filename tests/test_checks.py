@@ -87,8 +87,8 @@ def test_cross_column(spark):
 
 
 def test_layer_counts(spark):
-    want = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "table string, n_rows bigint")
-    have = spark.createDataFrame([("a", 5), ("b", 7), ("d", 1)], "table string, n_rows bigint")
+    want = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "table_name string, n_rows bigint")
+    have = spark.createDataFrame([("a", 5), ("b", 7), ("d", 1)], "table_name string, n_rows bigint")
     rows = checks.layer_counts(want, have, "silver").collect()
     assert {(r.table_name, r.total, r.failed) for r in rows} == {
         ("a", 5, 0),
