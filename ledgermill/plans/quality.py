@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +81,9 @@ def range_rules(table: str) -> list[Rule]:
     ]
 
 
-def _rules_per_table(silver: Tables, rules_of) -> DataFrame:
+def _rules_per_table(
+    silver: Tables, rules_of: Callable[[str, DataFrame], list[Rule]]
+) -> DataFrame:
     ruled = ((table, df, rules_of(table, df)) for table, df in silver.items())
     return union_all(
         *(row_rules(df, "silver", table, rules) for table, df, rules in ruled if rules)

@@ -49,6 +49,8 @@ def settings_for(input_bytes: int | None) -> dict[str, str]:
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(TASK_BYTES),
         # A task writing a few partitions keeps a file open for each; no sort.
         "spark.sql.maxConcurrentOutputFileWriters": "16",
+        # Recording a stack trace per column takes as long as planning a query.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if input_bytes is not None:
