@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from ledgermill.session import ensure_checkpoint_dir
 
 
+def sorted_slices(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
+    """Cuts rows into slices along group and order; ``_slice`` numbers them in order.
+
+    Rows of a lower slice come before all rows of a higher one. The result is
+    checkpointed, because computing the same plan again may cut differently.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return (
+        df.repartitionByRange(F.col(group), *order)
+        .withColumn("_slice", F.spark_partition_id())
+        .checkpoint()
+    )
+
+
 def running_total(
     df: DataFrame, group: str, order: Sequence[Column], value: str
 ) -> DataFrame:
@@ -20,15 +34,9 @@ def running_total(
     row gets the sum inside its slice plus that of the slices before it. The
     result is exact, whatever the slices are.
 
-    ``group`` must not be null and ``order`` must leave no ties. The slices are
-    checkpointed, because a repeated run of the same stage may cut differently.
+    ``group`` must not be null and ``order`` must leave no ties.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    sliced = (
-        df.repartitionByRange(F.col(group), *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    sliced = sorted_slices(df, group, order)
     slice_sums = sliced.groupBy(group, "_slice").agg(F.sum(value).alias("_slice_sum"))
     # One row per slice from here to the join.
     whole_group = Window.partitionBy(group)

@@ -30,6 +30,7 @@ def run_pipeline(
     failed check of severity ``error`` ends the run, which is then not published;
     its check results stay below the run's path. Every stage reads written
     tables, so a lost executor costs the tasks it ran and no earlier stage.
+    ``run_ts`` should carry its time zone.
     """
     run = start_run(spark, dst_dir, run_ts)
     source = source_tables(spark, src_dir)

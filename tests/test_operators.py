@@ -10,7 +10,7 @@ from pyspark.testing import assertDataFrameEqual
 
 from ledgermill.operators.dedup import dedup_latest, exact_dedup
 from ledgermill.operators.foreign_keys import mark_orphans, orphan_keys, split_fk
-from ledgermill.operators.running import running_total
+from ledgermill.operators.running import running_total, sorted_slices
 from ledgermill.operators.union import union_all
 
 
@@ -92,8 +92,29 @@ def test_mark_without_references(children):
     assert marked.filter("row_status = 'ok' and reject_reason is null").count() == 5
 
 
+@pytest.fixture
+def many_slices(spark):
+    """Keeps Spark from merging the small slices of test tables into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_slices_of_a_group_follow_its_order(spark, many_slices):
+    df = spark.range(1000).select(
+        F.when(F.col("id") < 900, "big").otherwise("small").alias("g"),
+        (F.col("id") % 3).alias("v"),
+        F.col("id").alias("k"),
+    )
+    sliced = sorted_slices(df, "g", [F.desc("v"), F.asc("k")])
+    rows = sorted(sliced.collect(), key=lambda row: (row.g, -row.v, row.k))
+    slices = [row._slice for row in rows]
+    assert slices == sorted(slices)
+    assert len({row._slice for row in rows if row.g == "big"}) >= 5
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_running_total_equals_brute_force(spark, seed):
+def test_running_total_equals_brute_force(spark, many_slices, seed):
     """One group has most rows, and a third of all rows share one value."""
     rng = random.Random(seed)
     rows = []
