@@ -7,8 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-AUDIT_COLUMNS = ("_source_table", "_source_file", "_ingested_at")
-
 
 def with_audit(df: DataFrame, table: str, run_ts: datetime) -> DataFrame:
     """Adds where each row came from and which run landed it.

@@ -190,13 +190,10 @@ def date_coverage(
     severity: str = WARNING,
 ) -> DataFrame:
     """Counts calendar days between the first and last fact that hold no fact."""
-    dated = facts.filter(F.col(date_key) > 0).select(F.col(date_key).alias("date_key"))
-    first, last = (
-        dated.select(edge("date_key")).scalar() for edge in (F.min, F.max)
-    )
+    used = facts.filter(F.col(date_key) > 0).select(F.col(date_key).alias("date_key")).distinct()
+    first, last = (used.select(edge("date_key")).scalar() for edge in (F.min, F.max))
     days = dim_date.select("date_key").filter(F.col("date_key").between(first, last))
-    used = dated.distinct().withColumn("_used", F.lit(True))
-    counts = days.join(used, "date_key", "left").agg(
+    counts = days.join(used.withColumn("_used", F.lit(True)), "date_key", "left").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("_used").isNull()).alias("failed")
     )
     return _result(counts, F.lit(f"date_coverage:{table}.{date_key}"), layer, table, severity)

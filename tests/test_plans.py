@@ -180,4 +180,4 @@ def test_year_filter_prunes_files(spark, chain, tmp_path):
         partition_by=["order_year"],
     )
     text = plan(read_layer(spark, str(tmp_path / "facts")).filter("order_year = 1996"))
-    assert re.search(r"PartitionFilters: \[isnotnull\(order_year#\d+\), \(order_year#\d+ = 1996\)", text)
+    assert re.search(r"PartitionFilters: \[isnotnull\(order_year.*\(order_year#\d+ = 1996\)", text)
