@@ -116,30 +116,16 @@ def fact_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def fact_sales(
-    lineitem: DataFrame,
-    orders: DataFrame,
-    products: DataFrame | None = None,
-    suppliers: DataFrame | None = None,
+def sales_lines(
+    lineitem: DataFrame, products: DataFrame | None = None, suppliers: DataFrame | None = None
 ) -> DataFrame:
-    """One row per sales line, with the keys of its dimensions.
+    """One row per sales line, with what is known without its order.
 
-    Date and customer come from ``orders``, the order facts. Products and
-    suppliers are looked up in the dimensions given. Left out, the foreign keys
-    count as checked already (silver does that) and the surrogate key is computed
-    from them, which spares two shuffles of the sales lines.
+    Products and suppliers are looked up in the dimensions given. Left out, the
+    foreign keys count as checked already (silver does that) and the surrogate
+    key is computed from them, which spares two shuffles of the sales lines.
     """
-    header = orders.select(
-        F.col("order_key").alias("_order_key"),
-        "order_date_key",
-        "customer_key",
-        "market_segment",
-        "region_name",
-        "order_year",
-    )
-    lines = with_amounts(lineitem).join(
-        header, F.col("l_orderkey") == F.col("_order_key"), "left"
-    )
+    lines = with_amounts(lineitem)
     product_key = surrogate_key("part", "l_partkey")
     if products is not None:
         lines = lines.join(
@@ -156,17 +142,12 @@ def fact_sales(
             "left",
         )
         supplier_key = F.col("supplier_key")
-    no_date = F.lit(UNKNOWN_KEY)
     return lines.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
-        F.coalesce("order_date_key", no_date).alias("order_date_key"),
         date_key("l_shipdate").alias("ship_date_key"),
-        known_or_unknown(F.col("customer_key")).alias("customer_key"),
         known_or_unknown(product_key).alias("product_key"),
         known_or_unknown(supplier_key).alias("supplier_key"),
-        _or_unknown("market_segment").alias("market_segment"),
-        _or_unknown("region_name").alias("region_name"),
         F.col("l_returnflag").alias("return_flag"),
         F.col("l_linestatus").alias("line_status"),
         F.col("l_quantity").alias("quantity"),
@@ -175,6 +156,33 @@ def fact_sales(
         "net_amount",
         "tax_amount",
         "total_amount",
+    )
+
+
+def fact_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Sales lines with the date and customer of their order, taken from its facts."""
+    header = orders.select(
+        "order_key", "order_date_key", "customer_key", "market_segment", "region_name", "order_year"
+    )
+    no_date = F.lit(UNKNOWN_KEY)
+    return lines.join(header, "order_key", "left").select(
+        "order_key",
+        "line_number",
+        F.coalesce("order_date_key", no_date).alias("order_date_key"),
+        "ship_date_key",
+        known_or_unknown(F.col("customer_key")).alias("customer_key"),
+        "product_key",
+        "supplier_key",
+        _or_unknown("market_segment").alias("market_segment"),
+        _or_unknown("region_name").alias("region_name"),
+        "return_flag",
+        "line_status",
+        "quantity",
+        "gross_amount",
+        "discount_amount",
+        "net_amount",
+        "tax_amount",
+        "total_amount",
         F.coalesce("order_year", no_date).alias("order_year"),
     )
 

@@ -80,7 +80,7 @@ def _build_gold(silver: dict[str, DataFrame], run: Run) -> dict[str, DataFrame]:
     orders = gold.fact_orders(silver["orders"], tables["dim_customer"])
     tables["fact_orders"] = _store_fact(orders, run, "fact_orders")
     # Silver has set lines of unknown parts and suppliers aside.
-    sales = gold.fact_sales(silver["lineitem"], tables["fact_orders"])
+    sales = gold.fact_sales(gold.sales_lines(silver["lineitem"]), tables["fact_orders"])
     tables["fact_sales"] = _store_fact(sales, run, "fact_sales")
     return tables
 

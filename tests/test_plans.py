@@ -73,6 +73,12 @@ def test_report_reads_only_its_columns(chain):
     assert columns_read(text, "o_") == {"o_orderkey", "o_custkey"}
 
 
+def test_gross_to_net_shuffles_only_its_groups(spark, small_dir):
+    text = plan(queries()["gross_to_net"](spark, small_dir))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" not in text
+
+
 def test_manifest_reads_no_column(spark, small_dir):
     text = plan(queries()["bronze_manifest"](spark, small_dir))
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", text)) == {""}
@@ -147,8 +153,8 @@ def hot_lines(chain):
 
 
 def test_hot_keys_of_sales_are_split(spark, chain, hot_lines):
-    dimensions = (chain.gold[name] for name in ("fact_orders", "dim_product", "dim_supplier"))
-    facts = gold.fact_sales(hot_lines, *dimensions)
+    lines = gold.sales_lines(hot_lines, chain.gold["dim_product"], chain.gold["dim_supplier"])
+    facts = gold.fact_sales(lines, chain.gold["fact_orders"])
     sums = [F.count("*"), F.sum("net_amount"), F.sum(F.col("product_key").cast("decimal(38,0)"))]
     want = facts.agg(*sums).first()
     with settings(spark, **SKEW):
