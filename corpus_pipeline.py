@@ -1,7 +1,87 @@
-"""The corpus pipeline: stages in order, each over all that the one before kept."""
+"""The corpus pipeline: stages in order, each over all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir). Its rows are written as Parquet in the shared
+folder and read again by the next, so a lost executor costs at most the stage at hand.
+All stages but the last return the columns of ``documents``. Null and empty texts go in
+the first stage; null doc_ids, repeated rows and clashing columns are as each operator
+says; empty tables pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgermill.llm.byte_bpe import ByteBpe
+from ledgermill.llm.common import ship, stored
+from ledgermill.llm.decontamination import without_hits
+from ledgermill.llm.jaccard import near_duplicates
+from ledgermill.llm.language import UNKNOWN, LanguageId
+from ledgermill.llm.suffix_dedup import SuffixDedup
+
+# Documents whose language is less sure than this are rejected.
+LEAST_SCORE = 0.5
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the network is sure of."""
+    ship(spark)
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return LanguageId(docs).predict(docs).where(sure).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of every group of near-duplicates the document with the least id."""
+    ship(spark)
+    copies = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated strings of 200 bytes out of the texts; documents of nothing else go."""
+    ship(spark)
+    cut = SuffixDedup().remove(docs, as_text=True).where("kept_text <> ''")
+    text = F.col("kept_text")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that share no window of words with a benchmark item."""
+    ship(spark)
+    return without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, decoded again as a check."""
+    ship(spark)
+    bpe = ByteBpe(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text")).select(
+        "doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
+        "decodes",
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+# The first stage rests on a trained network, which SQL cannot express.
 ORACLE_SQL = None
-QUERIES: dict = {}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents in ``sf_dir``."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        rows = stored(stage(spark, rows, sf_dir))
+    return rows
+
+
+QUERIES = {"pipeline": run}

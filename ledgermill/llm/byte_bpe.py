@@ -5,24 +5,27 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
+from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from ledgermill.llm.common import slices
 
-# Bounds of what a worker remembers. A full table is emptied and filled again as needed.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 100_000, 500_000, 400_000
+# Bounds of what a worker remembers: states, after which the machine no longer grows, and
+# pairs of tokens and pieces, which are forgotten and filled again as needed.
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 500_000, 300_000
 # Pieces, and ids, of one text handled at once.
 CHUNK = 50_000
 
 ROOT = 0
 _NEVER = 1 << 40
+_IDS, _DIGITS = itemgetter(0), itemgetter(1)
 
 
 class State:
@@ -78,9 +81,6 @@ class Transducer:
                     self.joins[x << 32 | y] = rank
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.start = State(((ROOT, -1, ()),))
         self.states = {self.start.open: self.start}
 
@@ -173,45 +173,52 @@ class Transducer:
         state.steps[byte] = to, emitted
         return to, emitted
 
-    def follow(self, state: State, rest: bytes) -> list[int]:
-        """What the machine emits for the rest of a piece, its guesses followed one by one.
+    def follow(self, piece: bytes) -> tuple[int, ...]:
+        """The path of the machine through a piece, its guesses tried one by one, the longest
+        token first. Each place is reached by one path at most, so a place left is done with.
 
         Texts hold many pieces that never come again; no states are made for those.
         """
-        children, token_at, fits = self.children, self.token_at, self.fits
-        guesses = [(node, last, (None, pending)) for node, last, pending in state.open]
-        for byte in rest:
-            nxt, ended = [], None
-            for node, last, path in guesses:
-                child = children[node].get(byte)
-                if child is None:
-                    continue
-                if children[child]:
-                    nxt.append((child, last, path))
-                if ended is None and (token := token_at[child]) >= 0 and fits(last, token):
-                    ended = (ROOT, token, (path, token))
-            nxt.append(ended)
-            guesses = nxt
-        out, path = [], guesses[-1][2]
-        while path[0] is not None:
-            out.append(path[1])
-            path = path[0]
-        return [*path[1], *reversed(out)]
+        children, token_at, fits, n = self.children, self.token_at, self.fits, len(piece)
+        path, at, ways = [], 0, []
+        left = set()
+        while at < n:
+            if len(ways) == len(path):
+                node, found, last, end = ROOT, [], path[-1] if path else -1, at
+                while end < n:
+                    node = children[node].get(piece[end])
+                    if node is None:
+                        break
+                    end += 1
+                    token = token_at[node]
+                    if token >= 0:
+                        found.append((token, end))
+                ways.append(found)
+            found = ways[-1]
+            while found:
+                token, end = found.pop()
+                if end not in left and fits(path[-1] if path else -1, token):
+                    path.append(token)
+                    at = end
+                    break
+            else:
+                ways.pop()
+                left.add(at)
+                at -= len(self.bytes_of[path.pop()])
+        return tuple(path)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MAX_STATES:
-            self._clear()
-        state, out, at = self.start, [], 0
+        state, out = self.start, []
         for byte in piece:
             found = state.steps.get(byte)
-            at += 1
             if found is None:
                 # One new step for each piece: the machine grows where pieces agree.
-                state, emitted = self.step(state, byte)
-                return (*out, *emitted, *self.follow(state, piece[at:]))
+                if len(self.states) < MAX_STATES:
+                    self.step(state, byte)
+                return self.follow(piece)
             state, emitted = found
             if emitted:
                 out += emitted
@@ -245,36 +252,35 @@ class Decoder:
         self.bytes_of, self.effects = bytes_of, effects
         self.state, self.held, self.valid = 0, b"", True
 
-    def _effect(self, token: int) -> list[int]:
-        """Where a token leads from each state of the machine."""
-        ends = []
-        for state in range(9):
-            for byte in self.bytes_of[token]:
-                state = UTF8[state][byte]
-            ends.append(state)
-        self.effects[token] = ends
-        return ends
-
-    def feed(self, ids: Iterable[int]) -> bytes:
-        """The bytes that are complete characters by now."""
-        state, effects, parts, whole = self.state, self.effects, [self.held], 1
-        for token in ids:
-            ends = effects.get(token)
-            state = (ends if ends is not None else self._effect(token))[state]
-            parts.append(self.bytes_of[token])
-            if state == 0:
-                whole = len(parts)
+    def feed(self, ids: list[int]) -> bytes:
+        """The bytes that are complete characters by now.
+
+        ``effects`` tells where a token leads from each state, for the tokens that do not
+        consist of whole characters.
+        """
+        state, effects = self.state, self.effects
+        if state == 0 and effects.keys().isdisjoint(ids):
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        whole = at = 0
+        for k in [k for k, token in enumerate(ids) if token in effects]:
+            if state and k > at:
+                # Whole characters inside an unfinished one.
+                state = 8
+            state = effects[ids[k]][state]
+            at = k + 1
+            if state in (0, 8):
+                whole = at
+        if at < len(ids):
+            state, whole = 8 if state else 0, len(ids)
         self.state, self.valid = state, state != 8
-        if state == 8:
-            whole = len(parts)
-        elif state == 0 or whole > 1:
-            self.held = b"".join(parts[whole:])
-            return b"".join(parts[:whole])
+        done, left = ids[:whole], ids[whole:]
+        data = b"".join(map(self.bytes_of.__getitem__, done))
+        rest = b"".join(map(self.bytes_of.__getitem__, left))
+        if whole:
+            data, self.held = self.held + data, rest
         else:
-            self.held = b"".join(parts)
-            return b""
-        self.held = b""
-        return b"".join(parts)
+            self.held += rest
+        return data
 
     def finish(self) -> bytes:
         """What is left; a character cut off makes the text invalid."""
@@ -293,31 +299,53 @@ class Codec:
         }
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
         self.effects: dict[int, list[int]] = {}
+        for token, rank in ranks.items():
+            ends = [self._end(state, token) for state in range(9)]
+            if ends[0] != 0:
+                self.effects[rank] = ends
         # The tables above hold many small objects that live on; look them over less often.
         gc.freeze()
         gc.set_threshold(200_000, 100, 100)
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids of a text, some pieces at a time."""
-        pieces, known = self.pieces, self.pieces.get
+    @staticmethod
+    def _end(state: int, token: bytes) -> int:
+        for byte in token:
+            state = UTF8[state][byte]
+        return state
+
+    def coded(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
+        """Ids of each piece of a text, also as digits with commas, some pieces at a time."""
+        encode = self.machine.encode
         found = (m.group() for m in self.pattern.finditer(text))
         if len(text) < CHUNK:
             found = iter(self.pattern.findall(text))
         while chunk := list(islice(found, CHUNK)):
-            out: list[int] = []
-            for piece in chunk:
-                ids = known(piece)
-                if ids is None:
-                    if len(pieces) >= MAX_PIECES:
-                        pieces.clear()
-                    ids = self.machine.encode(piece.encode())
+            if len(self.pieces) >= MAX_PIECES:
+                self.older, self.pieces = self.pieces, {}
+            pieces, older = self.pieces, self.older.get
+            out = list(map(pieces.get, chunk))
+            if None in out:
+                for k, both in enumerate(out):
+                    if both is not None:
+                        continue
+                    piece = chunk[k]
+                    both = older(piece)
+                    if both is None:
+                        ids = encode(piece.encode())
+                        both = ids, ",".join(map(str, ids))
+                    out[k] = both
                     if len(piece) < 64:
-                        pieces[piece] = ids
-                out += ids
+                        pieces[piece] = both
             yield out
 
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text, some pieces at a time."""
+        for part in self.coded(text):
+            yield list(chain.from_iterable(map(_IDS, part)))
+
     def decoder(self) -> Decoder:
         return Decoder(self.machine.bytes_of, self.effects)
 
@@ -346,20 +374,30 @@ class ByteBpe:
             self._sent = spark.sparkContext.broadcast((file.read(), pattern))
 
     def encode(self, docs: DataFrame, column: str = "text", to: str = "token_ids") -> DataFrame:
-        """``docs`` with the token ids of ``column``; a column named ``to`` is replaced."""
+        """``docs`` with the token ids of ``column`` in ``to``, and in ``decodes`` whether they
+        decode to it; columns of these names are replaced."""
         sent = self._sent
-        fields = [f for f in docs.schema.fields if f.name != to]
-        schema = StructType([*fields, StructField(to, ArrayType(IntegerType()))])
-        names = [f.name for f in schema.fields]
+        fields = [f for f in docs.schema.fields if f.name not in (to, "decodes")]
+        new = [StructField(to, ArrayType(IntegerType())), StructField("decodes", BooleanType())]
+        schema = StructType([*fields, *new])
+        names = schema.fieldNames()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(*sent.value)
             for batch in slices(batches, column):
                 texts = batch.column(column).to_pylist()
-                ids = [[x for part in codec.encode(t or "") for x in part] for t in texts]
+                ids, decodes = [], []
+                for text in texts:
+                    parts, decoder, data = [], codec.decoder(), b""
+                    for part in codec.encode(text or ""):
+                        parts.append(part)
+                        data += decoder.feed(part)
+                    data += decoder.finish()
+                    ids.append(list(chain.from_iterable(parts)))
+                    decodes.append(data == (text or "").encode())
                 kept = [batch.column(f.name) for f in fields]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(ids, pa.list_(pa.int32()))], names=names
+                    [*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(decodes)], names=names
                 )
 
         return docs.mapInArrow(run, schema)
@@ -384,7 +422,7 @@ class ByteBpe:
                 texts, valid = [], []
                 for ids in batch.column(column).to_pylist():
                     decoder = codec.decoder()
-                    data = decoder.feed(ids or ()) + decoder.finish()
+                    data = decoder.feed(ids or []) + decoder.finish()
                     texts.append(data.decode("utf-8", "replace"))
                     valid.append(decoder.valid)
                 kept = [batch.column(f.name) for f in fields]
@@ -416,8 +454,9 @@ class ByteBpe:
 
 def _digest(codec: Codec, text: str) -> tuple[int, str, str]:
     n, of_ids, of_bytes, decoder = 0, hashlib.sha256(), hashlib.sha256(), codec.decoder()
-    for ids in codec.encode(text):
-        of_ids.update((("," if n else "") + ",".join(map(str, ids))).encode())
+    for part in codec.coded(text):
+        ids = list(chain.from_iterable(map(_IDS, part)))
+        of_ids.update((("," if n else "") + ",".join(map(_DIGITS, part))).encode())
         of_bytes.update(decoder.feed(ids))
         n += len(ids)
     of_bytes.update(decoder.finish())

@@ -198,6 +198,36 @@ def decontaminate(
     return keyed.mapInArrow(_merge, _RESULT)
 
 
+def without_hits(
+    docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` in which no word is hit, found as in :func:`decontaminate`.
+
+    Rows are dropped where they lie. Further blocks of items take further passes, over
+    what the pass before has left.
+    """
+    blocks = item_blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    while following is not None:
+        rows, sent = _clean_pass(docs, block)
+        docs = stored(rows)
+        sent.destroy()
+        block, following = following, next(blocks, None)
+    return _clean_pass(docs, block)[0]
+
+
+def _clean_pass(docs: DataFrame, compiled: dict[int, Items]) -> tuple[DataFrame, Broadcast]:
+    sent = docs.sparkSession.sparkContext.broadcast(compiled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            first, _, hit, _ = find_hits(batch.column("text"), sent.value)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            yield batch.filter(pa.array(total[first[1:]] == total[first[:-1]]))
+
+    return docs.mapInArrow(run, docs.schema), sent
+
+
 _RESULT = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
     "contaminated boolean"

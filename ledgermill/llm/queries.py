@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from ledgermill.llm.byte_bpe import ByteBpe
 from ledgermill.llm.common import ship
 from ledgermill.llm.decontamination import decontaminate
+from ledgermill.llm.fuzzy_passages import fuzzy_repeats
 from ledgermill.llm.jaccard import near_duplicates
+from ledgermill.llm.language import LanguageId, held_out
 from ledgermill.llm.licenses import scan_licenses
 from ledgermill.llm.quality import score_repetition
+from ledgermill.llm.suffix_dedup import SuffixDedup, digests
 from ledgermill.llm.url_lists import apply_lists, patterns_of
 from ledgermill.llm.warc import round_trip
 
@@ -21,10 +24,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(SuffixDedup().remove(docs))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +47,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ByteBpe(spark, path, public_tokenizers.PATTERN).digests(docs)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    predicted = LanguageId(docs).predict(docs)
+    return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -90,7 +108,7 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_ngram_jaccard, op4_decontamination, op5_byte_bpe, op7_warc, op8_quality_rules,
+        op1_suffix_dedup, op2_ngram_jaccard, op3_fuzzy_passages, op4_decontamination, op5_byte_bpe, op6_language_id, op7_warc, op8_quality_rules,
         op9_license_scan, op10_url_lists,
     )
 }

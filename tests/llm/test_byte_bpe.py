@@ -88,5 +88,5 @@ def test_decoder_holds_back_unfinished_characters(codec):
     assert b"".join(parts).decode() == text and decoder.finish() == b"" and decoder.valid
     for bad in (b"\xc3", b"\xff", b"\xed\xa0\x80", b"a\xe4\xb8", b"\xc0\x80"):
         decoder = codec.decoder()
-        data = decoder.feed(machine.ranks[bytes([b])] for b in bad) + decoder.finish()
+        data = decoder.feed([machine.ranks[bytes([b])] for b in bad]) + decoder.finish()
         assert data == bad and not decoder.valid
