@@ -19,7 +19,7 @@ from ledgermill.llm.common import slices
 
 # Bounds of what a worker remembers: states, after which the machine no longer grows, and
 # pairs of tokens and pieces, which are forgotten and filled again as needed.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 500_000, 300_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 500_000, 500_000
 # Pieces, and ids, of one text handled at once.
 CHUNK = 50_000
 
@@ -179,12 +179,12 @@ class Transducer:
 
         Texts hold many pieces that never come again; no states are made for those.
         """
-        children, token_at, fits, n = self.children, self.token_at, self.fits, len(piece)
+        children, token_at, pairs, n = self.children, self.token_at, self.pairs, len(piece)
         path, at, ways = [], 0, []
         left = set()
         while at < n:
             if len(ways) == len(path):
-                node, found, last, end = ROOT, [], path[-1] if path else -1, at
+                node, found, end = ROOT, [], at
                 while end < n:
                     node = children[node].get(piece[end])
                     if node is None:
@@ -197,7 +197,11 @@ class Transducer:
             found = ways[-1]
             while found:
                 token, end = found.pop()
-                if end not in left and fits(path[-1] if path else -1, token):
+                last = path[-1] if path else -1
+                fit = pairs.get((last + 1) << 32 | token)
+                if fit is None:
+                    fit = self.fits(last, token)
+                if fit and end not in left:
                     path.append(token)
                     at = end
                     break
