@@ -184,29 +184,41 @@ def _place(packed: str) -> Column:
     return F.col(packed).bitwiseAND((1 << 28) - 1)
 
 
-def _near_in_size() -> Column:
+def _needed(n_x: Column, n_y: Column) -> Column:
+    """Least number of shared shingles that makes two sets of these sizes similar."""
+    up = F.lit(99 + PERCENT)
+    return F.call_function("div", PERCENT * (n_x + n_y) + up, F.lit(100 + PERCENT))
+
+
+def _can_meet() -> Column:
+    """Is this meeting within the prefixes that the two sizes call for?
+
+    Sets that share ``needed`` shingles share ``m`` of the first ``n - needed + m`` of each.
+    These prefixes are no longer than those sent, which hold for partners of any size.
+    """
     x, y = _size("x_about"), _size("y_about")
-    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+    extra = F.least(_matches("x_about"), _matches("y_about")) - _needed(x, y)
+    similar_size = 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+    return similar_size & (_place("x_about") < x + extra) & (_place("y_about") < y + extra)
 
 
 def _candidates(meetings: DataFrame) -> DataFrame:
     """Pairs (x, y) that share enough prefix shingles, of rows (x, x_about, y, y_about)."""
-    n_x, n_y = _size("x_about"), _size("y_about")
     met = (
-        meetings.where(_near_in_size())
+        meetings.where(_can_meet())
         .select(
             "x", "y",
-            n_x.alias("n_x"), n_y.alias("n_y"),
-            F.least(_matches("x_about"), _matches("y_about")).alias("needed"),
+            _size("x_about").alias("n_x"), _size("y_about").alias("n_y"),
+            F.least(_matches("x_about"), _matches("y_about")).alias("asked"),
             _place("x_about").alias("at_x"), _place("y_about").alias("at_y"),
         )
-        .groupBy("x", "y", "n_x", "n_y", "needed")
+        .groupBy("x", "y", "n_x", "n_y", "asked")
         .agg(F.count("*").alias("shared"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
     )
     # All shared shingles up to the last meeting are counted; the rest come after it.
     most = F.col("shared") + F.least(F.expr("n_x - 1 - at_x"), F.expr("n_y - 1 - at_y"))
-    enough = (100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y"))
-    return met.where((F.col("shared") >= F.col("needed")) & enough).select("x", "y").distinct()
+    enough = most >= _needed(F.col("n_x"), F.col("n_y"))
+    return met.where((F.col("shared") >= F.col("asked")) & enough).select("x", "y").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -238,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     share the smaller number of the two. No pair is lost by that.
 
     Pairs are checked in two steps, so that a large group of near copies is not paired
-    up: first every class with the first class of each posting list, then, on lists
+    up: first every class with the head of each posting list, then, on lists
     that still hold several components, classes of different components. Pairs inside a
     component change nothing and are left out, so each link between components counts.
 
@@ -266,10 +278,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     postings = postings.select(
         "shingle", "x", _packed(F.col("of.n"), F.col("of.matches"), F.col("place").cast("long")).alias("x_about")
     )
+    # A text that others were made from has few rarer shingles before the shared ones.
     heads = postings.groupBy("shingle").agg(
-        F.min(F.struct("x", "x_about")).alias("head"), F.count("*").alias("length")
+        F.min(F.struct(_place("x_about").alias("at"), "x", "x_about")).alias("head"),
+        F.count("*").alias("length"),
     )
-    heads = heads.where("length > 1").select("shingle", "head.*")
+    heads = heads.where("length > 1").select("shingle", "head.x", "head.x_about")
     heads = heads.toDF("shingle", "y", "y_about")
     lists = stored(postings.join(heads, "shingle"))
 
