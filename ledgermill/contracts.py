@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from decimal import Decimal
 from typing import NamedTuple
 
@@ -167,17 +168,29 @@ ACCEPTED_VALUES = {
 class Range(NamedTuple):
     table: str
     column: str
-    low: Decimal | None
-    high: Decimal | None
+    low: Decimal | date | None
+    high: Decimal | date | None
     severity: str
 
 
+# Days outside these are typing errors, and would stretch the calendar.
+FIRST_DAY, LAST_DAY = date(1970, 1, 1), date(2099, 12, 31)
+
 RANGES = (
     Range("customer", "c_acctbal", Decimal("0"), None, WARNING),
+    # Keys of dimensions are these keys, and -1 is the unknown member.
+    Range("customer", "c_custkey", Decimal("0"), None, ERROR),
+    Range("supplier", "s_suppkey", Decimal("0"), None, ERROR),
+    Range("part", "p_partkey", Decimal("0"), None, ERROR),
+    Range("orders", "o_orderdate", FIRST_DAY, LAST_DAY, ERROR),
+    Range("lineitem", "l_shipdate", FIRST_DAY, LAST_DAY, ERROR),
     Range("lineitem", "l_quantity", Decimal("1"), Decimal("50"), ERROR),
     Range("lineitem", "l_discount", Decimal("0.00"), Decimal("0.10"), ERROR),
     Range("lineitem", "l_tax", Decimal("0.00"), Decimal("0.08"), ERROR),
 )
 
+# A larger share of a fact table's rows set aside stops the load.
+QUARANTINE_SHARE = 0.01
+
 # A header total this far off the sum of its lines is reported.
 RECON_TOLERANCE = Decimal("1.00")

@@ -10,7 +10,7 @@ def with_amounts(lineitem: DataFrame) -> DataFrame:
     """Adds gross, discount, net, tax and total amounts.
 
     All are decimals of at most 18 digits, which Spark holds as one long. A
-    product that does not fit becomes null and is counted by the checks.
+    product that does not fit becomes null, which stops the load at the checks on gold.
     """
     price = F.col("l_extendedprice")
     discount = (price * F.col("l_discount")).try_cast("decimal(18,4)")

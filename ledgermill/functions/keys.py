@@ -9,14 +9,13 @@ UNKNOWN_KEY = -1
 UNKNOWN_TEXT = "Unknown"
 
 
-def surrogate_key(table: str, business_key: str) -> Column:
-    """Sixty bits of a digest of table name and business key.
+def surrogate_key(business_key: str) -> Column:
+    """The business key itself, as a bigint.
 
-    The same key comes out of every run, no numbering pass over the dimension
-    is needed, and it is never negative, so ``UNKNOWN_KEY`` stays free.
+    Business keys are unique, and checked not to be negative, so two members never share
+    a key, the same key comes out of every run, and ``UNKNOWN_KEY`` stays free.
     """
-    named = F.concat(F.lit(f"{table}|"), F.col(business_key).cast("string"))
-    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("bigint")
+    return F.col(business_key).cast("bigint")
 
 
 def known_or_unknown(key: Column) -> Column:

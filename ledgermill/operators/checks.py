@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 from decimal import Decimal
 from functools import reduce
 
@@ -42,7 +43,11 @@ def accepted_values(table: str, column: str, values: Sequence[str], severity: st
 
 
 def in_range(
-    table: str, column: str, low: Decimal | None, high: Decimal | None, severity: str
+    table: str,
+    column: str,
+    low: Decimal | date | None,
+    high: Decimal | date | None,
+    severity: str,
 ) -> Rule:
     outside = F.lit(False)
     if low is not None:
@@ -199,6 +204,15 @@ def date_coverage(
     return _result(counts, F.lit(f"date_coverage:{table}.{date_key}"), layer, table, severity)
 
 
+def set_aside(df: DataFrame, table: str, allowed: float) -> DataFrame:
+    """Source rows of a cleaned table in quarantine: an error above the share ``allowed``."""
+    aside = F.when(F.col("row_status") == "quarantine", F.col("source_rows"))
+    counts = df.agg(F.sum("source_rows").alias("total"), F.sum(aside).alias("failed"))
+    too_many = F.coalesce(F.col("failed"), F.lit(0)) > allowed * F.coalesce("total", F.lit(0))
+    severity = F.when(too_many, F.lit(ERROR)).otherwise(F.lit(WARNING))
+    return _result(counts, F.lit(f"quarantine:{table}"), "silver", table, severity)
+
+
 def schema_problems(df: DataFrame, contract: StructType) -> list[str]:
     """How names, order or types of the columns differ from the contract."""
     problems = []

@@ -80,7 +80,7 @@ _CTES = {
             )
         )""",
     "dim_customer": """
-        SELECT CAST('0x' || substr(md5('customer|' || c_custkey), 1, 15) AS BIGINT)
+        SELECT CAST(c_custkey AS BIGINT)
                 AS customer_key,
             c_custkey, c_name AS customer_name,
             coalesce(c_mktsegment, 'Unknown') AS market_segment, c_acctbal AS account_balance,
@@ -90,14 +90,14 @@ _CTES = {
         UNION ALL
         SELECT -1, NULL, 'Unknown', 'Unknown', NULL, 'Unknown', 'Unknown'""",
     "dim_product": """
-        SELECT CAST('0x' || substr(md5('part|' || p_partkey), 1, 15) AS BIGINT) AS product_key,
+        SELECT CAST(p_partkey AS BIGINT) AS product_key,
             p_partkey, p_name AS product_name, p_brand AS brand, p_type AS product_type,
             p_size AS size, p_retailprice AS retail_price
         FROM s_part
         UNION ALL
         SELECT -1, NULL, 'Unknown', 'Unknown', 'Unknown', NULL, NULL""",
     "dim_supplier": """
-        SELECT CAST('0x' || substr(md5('supplier|' || s_suppkey), 1, 15) AS BIGINT)
+        SELECT CAST(s_suppkey AS BIGINT)
                 AS supplier_key,
             s_suppkey, s_name AS supplier_name, s_acctbal AS account_balance,
             coalesce(n_name, 'Unknown') AS nation_name,
@@ -223,10 +223,17 @@ _ACCEPTED = [
     )
 ]
 
+_DAYS = "BETWEEN DATE '1970-01-01' AND DATE '2099-12-31'"
+
 _RANGE = [
     _rule(f"range:{table}.{column}", table, severity, broken)
     for table, column, severity, broken in (
         ("customer", "c_acctbal", "warning", "c_acctbal < 0"),
+        ("customer", "c_custkey", "error", "c_custkey < 0"),
+        ("supplier", "s_suppkey", "error", "s_suppkey < 0"),
+        ("part", "p_partkey", "error", "p_partkey < 0"),
+        ("orders", "o_orderdate", "error", f"o_orderdate NOT {_DAYS}"),
+        ("lineitem", "l_shipdate", "error", f"l_shipdate NOT {_DAYS}"),
         ("lineitem", "l_quantity", "error", "l_quantity NOT BETWEEN 1 AND 50"),
         ("lineitem", "l_discount", "error", "l_discount NOT BETWEEN 0.00 AND 0.10"),
         ("lineitem", "l_tax", "error", "l_tax NOT BETWEEN 0.00 AND 0.08"),
@@ -391,7 +398,29 @@ _DATE_COVERAGE = [
     )
 ]
 
+_QUARANTINE = [
+    f"""
+        SELECT 'quarantine:{table}' AS check_id, 'silver' AS layer, '{table}' AS table_name,
+            CASE WHEN count(*) FILTER (WHERE {away}) > 0.01 * count(*) THEN 'error'
+                ELSE 'warning' END AS severity,
+            CAST(count(*) AS BIGINT) AS total,
+            CAST(count(*) FILTER (WHERE {away}) AS BIGINT) AS failed,
+            count(*) FILTER (WHERE {away}) = 0 AS passed
+        FROM s_{table}"""
+    for table, away in (
+        ("orders", "o_custkey NOT IN (SELECT c_custkey FROM s_customer)"),
+        (
+            "lineitem",
+            "l_orderkey NOT IN (SELECT o_orderkey FROM s_orders WHERE o_custkey IS NULL "
+            "OR o_custkey IN (SELECT c_custkey FROM s_customer)) "
+            "OR l_partkey NOT IN (SELECT p_partkey FROM s_part) "
+            "OR l_suppkey NOT IN (SELECT s_suppkey FROM s_supplier)",
+        ),
+    )
+]
+
 _CHECKS = {
+    "dq_quarantine": _QUARANTINE,
     "dq_not_null": _NOT_NULL,
     "dq_unique": _UNIQUE,
     "dq_referential": _REFERENTIAL,

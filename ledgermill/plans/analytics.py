@@ -85,7 +85,9 @@ def revenue_yoy(fact_sales: DataFrame, dim_date: DataFrame) -> DataFrame:
     """
     year_before = Window.orderBy(_month_number()).rangeBetween(-12, -12)
     months = _monthly_net(fact_sales, dim_date).withColumn(
-        "prior_year_revenue", F.max("net_revenue").over(year_before)
+        # Sales without a month form a row whose frame would be the row itself.
+        "prior_year_revenue",
+        F.when(F.col("order_month").isNotNull(), F.max("net_revenue").over(year_before)),
     )
     change = (F.col("net_revenue") - F.col("prior_year_revenue")).cast("double")
     growth = F.try_divide(change, F.col("prior_year_revenue").cast("double"))
@@ -110,8 +112,9 @@ def revenue_moving_3m(fact_sales: DataFrame, dim_date: DataFrame) -> DataFrame:
     The average is over the months of those three that had sales.
     """
     three_months = Window.orderBy(_month_number()).rangeBetween(-2, 0)
-    total = F.sum("net_revenue").over(three_months)
-    months = F.count("net_revenue").over(three_months)
+    dated = F.col("order_month").isNotNull()
+    total = F.when(dated, F.sum("net_revenue").over(three_months))
+    months = F.when(dated, F.count("net_revenue").over(three_months))
     return (
         _monthly_net(fact_sales, dim_date)
         .withColumns({"moving_sum": total.cast("decimal(38,4)"), "_months": months})
@@ -140,7 +143,8 @@ def top_customers(
         F.col("customer_rank") <= TOP_CUSTOMERS
     )
     names = dim_customer.select("customer_key", "c_custkey", "customer_name")
-    return top.join(names, "customer_key", "left").select(
+    # Every key is in the dimension; an inner join lets Spark broadcast the few top rows.
+    return top.join(names, "customer_key").select(
         "order_year", "customer_rank", "c_custkey", "customer_name", "net_revenue"
     )
 

@@ -39,7 +39,7 @@ def dim_date(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 def dim_customer(customer: DataFrame, geography: DataFrame) -> DataFrame:
     located = _with_geography(customer, "c_nationkey", geography)
     members = located.select(
-        surrogate_key("customer", "c_custkey").alias("customer_key"),
+        surrogate_key("c_custkey").alias("customer_key"),
         "c_custkey",
         F.col("c_name").alias("customer_name"),
         _or_unknown("c_mktsegment").alias("market_segment"),
@@ -59,7 +59,7 @@ def dim_customer(customer: DataFrame, geography: DataFrame) -> DataFrame:
 
 def dim_product(part: DataFrame) -> DataFrame:
     members = part.select(
-        surrogate_key("part", "p_partkey").alias("product_key"),
+        surrogate_key("p_partkey").alias("product_key"),
         "p_partkey",
         F.col("p_name").alias("product_name"),
         F.col("p_brand").alias("brand"),
@@ -79,7 +79,7 @@ def dim_product(part: DataFrame) -> DataFrame:
 def dim_supplier(supplier: DataFrame, geography: DataFrame) -> DataFrame:
     located = _with_geography(supplier, "s_nationkey", geography)
     members = located.select(
-        surrogate_key("supplier", "s_suppkey").alias("supplier_key"),
+        surrogate_key("s_suppkey").alias("supplier_key"),
         "s_suppkey",
         F.col("s_name").alias("supplier_name"),
         F.col("s_acctbal").alias("account_balance"),
@@ -126,7 +126,7 @@ def sales_lines(
     key is computed from them, which spares two shuffles of the sales lines.
     """
     lines = with_amounts(lineitem)
-    product_key = surrogate_key("part", "l_partkey")
+    product_key = surrogate_key("l_partkey")
     if products is not None:
         lines = lines.join(
             products.select("p_partkey", "product_key"),
@@ -134,7 +134,7 @@ def sales_lines(
             "left",
         )
         product_key = F.col("product_key")
-    supplier_key = surrogate_key("supplier", "l_suppkey")
+    supplier_key = surrogate_key("l_suppkey")
     if suppliers is not None:
         lines = lines.join(
             suppliers.select("s_suppkey", "supplier_key"),

@@ -12,6 +12,7 @@ from ledgermill.contracts import (
     FOREIGN_KEYS,
     LINE_PAIR,
     PRIMARY_KEYS,
+    QUARANTINE_SHARE,
     RANGES,
     RECON_TOLERANCE,
     REQUIRED,
@@ -31,6 +32,7 @@ from ledgermill.operators.checks import (
     referential,
     row_recon,
     row_rules,
+    set_aside,
     unique,
 )
 from ledgermill.operators.union import union_all
@@ -46,6 +48,8 @@ SURROGATE_KEYS = {
     "dim_supplier": "supplier_key",
 }
 
+AMOUNTS = ("gross_amount", "discount_amount", "net_amount", "tax_amount", "total_amount")
+
 DIMENSION_KEYS_OF_FACTS = {
     "fact_orders": ("order_date_key", "customer_key"),
     "fact_sales": (
@@ -125,7 +129,7 @@ def dq_unique_silver(silver: Tables) -> DataFrame:
 
 
 def dq_unique_gold(gold: Tables) -> DataFrame:
-    """Surrogate keys are digests, so two members could share one."""
+    """Every member of a dimension has a key of its own."""
     return union_all(
         *(
             unique(gold[table], "gold", table, [key], ERROR)
@@ -138,13 +142,17 @@ def dq_unique(silver: Tables, gold: Tables) -> DataFrame:
     return union_all(dq_unique_silver(silver), dq_unique_gold(gold))
 
 
-def dq_referential(silver: Tables) -> DataFrame:
-    """Warnings, because orphans of the facts are set aside before gold is built."""
+def dq_referential(silver: Tables, parents: Tables | None = None) -> DataFrame:
+    """Warnings, because orphans of the facts are set aside before gold is built.
+
+    ``parents`` are the tables that references must resolve in; ``silver`` by default.
+    """
+    parents = silver if parents is None else parents
     return union_all(
         *(
             referential(
                 silver[ref.table],
-                silver[ref.ref_table],
+                parents[ref.ref_table],
                 "silver",
                 ref.table,
                 ref.ref_table,
@@ -177,6 +185,13 @@ def dq_layer_counts(bronze: Tables, cleaned: Tables) -> DataFrame:
     return layer_counts(manifest(bronze), source_row_counts(cleaned), "silver")
 
 
+def dq_quarantine(cleaned: Tables) -> DataFrame:
+    """How much of each fact table's source was set aside."""
+    return union_all(
+        *(set_aside(cleaned[table], table, QUARANTINE_SHARE) for table in ("orders", "lineitem"))
+    )
+
+
 def dq_amount_recon(silver: Tables) -> DataFrame:
     return amount_recon(
         silver["orders"],
@@ -230,6 +245,7 @@ def dq_summary(bronze: Tables, cleaned: Tables, silver: Tables, gold: Tables) ->
         dq_referential(silver),
         dq_cross_column(silver),
         dq_layer_counts(bronze, cleaned),
+        dq_quarantine(cleaned),
         dq_amount_recon(silver),
         dq_row_recon(silver, gold),
         dq_date_coverage(gold),
@@ -244,13 +260,14 @@ def bronze_checks(source: Tables, bronze: Tables) -> DataFrame:
 def silver_checks(bronze: Tables, cleaned: Tables, silver: Tables) -> DataFrame:
     """Checks before the facts are built.
 
-    References are checked on all rows, set aside or not; the rest on the rows
-    that go on to gold.
+    References of all rows, set aside or not, must resolve in the rows that go on to
+    gold, so they fail where rows are set aside; the rest is checked on the rows that go on.
     """
     return union_all(
         dq_rows(silver),
         dq_unique_silver(silver),
-        dq_referential(cleaned),
+        dq_referential(cleaned, silver),
+        dq_quarantine(cleaned),
         dq_layer_counts(bronze, cleaned),
         dq_amount_recon(silver),
     )
@@ -266,14 +283,21 @@ def gold_checks(silver: Tables, gold: Tables) -> DataFrame:
         [not_null(fact, key, ERROR) for key in DIMENSION_KEYS_OF_FACTS[fact]]
         for fact in ("fact_sales", "fact_orders")
     )
+    # A product that does not fit its decimal is null.
+    amounts = [not_null("fact_sales", column, ERROR) for column in AMOUNTS]
     early = Rule(
         "cross_column:fact_sales.ship_date_key>=order_date_key",
         WARNING,
         (F.col("ship_date_key") > 0) & (F.col("ship_date_key") < F.col("order_date_key")),
     )
     return union_all(
-        row_rules(gold["fact_sales"], "gold", "fact_sales", [*sales_keys, early]),
-        row_rules(gold["fact_orders"], "gold", "fact_orders", order_keys),
+        row_rules(gold["fact_sales"], "gold", "fact_sales", [*sales_keys, *amounts, early]),
+        row_rules(
+            gold["fact_orders"],
+            "gold",
+            "fact_orders",
+            [*order_keys, not_null("fact_orders", "order_total", ERROR)],
+        ),
         dq_unique_gold(gold),
         dq_row_recon(silver, gold),
         dq_date_coverage(gold),

@@ -178,6 +178,7 @@ def _build() -> dict[str, Query]:
         "dq_accepted_values": lambda c: quality.dq_accepted_values(c.silver),
         "dq_range": lambda c: quality.dq_range(c.silver),
         "dq_cross_column": lambda c: quality.dq_cross_column(c.silver),
+        "dq_quarantine": lambda c: quality.dq_quarantine(c.cleaned),
         "dq_layer_counts": lambda c: quality.dq_layer_counts(c.bronze, c.cleaned),
         "dq_amount_recon": lambda c: quality.dq_amount_recon(c.silver),
         "dq_row_recon": lambda c: quality.dq_row_recon(c.silver, c.gold),

@@ -7,8 +7,10 @@ from collections import Counter
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from ledgermill.contracts import SOURCE_TABLES
+from ledgermill.oracle import ORACLE_SQL
+from ledgermill.registry import QUERIES
 
 # Spark type of a column -> DuckDB type.
 TYPES = {
@@ -34,13 +36,13 @@ def duck(oracle_dir):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, oracle_dir, name):
-    df = queries()[name](spark, oracle_dir)
-    result = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, oracle_dir)
+    result = duck.execute(ORACLE_SQL[name])
     sql_types = {column[0]: str(column[1]) for column in result.description}
     columns = sorted(df.columns)
     assert columns == sorted(sql_types)

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from ledgermill.registry import QUERIES
 from ledgermill.operators.dedup import exact_dedup
 from ledgermill.operators.foreign_keys import mark_orphans, orphan_keys, split_fk
 from ledgermill.plans import analytics, gold
@@ -56,10 +56,10 @@ def chain(spark, small_dir):
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "InPandas", "Coalesce 1")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_holds_nothing_that_does_not_scale(spark, small_dir, name):
     """Also: whatever is exchanged into a single partition was aggregated before."""
-    text = plan(queries()[name](spark, small_dir))
+    text = plan(QUERIES[name](spark, small_dir))
     assert not [word for word in UNWANTED if word in text]
     lines = text.splitlines()
     for number, line in enumerate(lines):
@@ -74,13 +74,13 @@ def test_report_reads_only_its_columns(chain):
 
 
 def test_gross_to_net_shuffles_only_its_groups(spark, small_dir):
-    text = plan(queries()["gross_to_net"](spark, small_dir))
+    text = plan(QUERIES["gross_to_net"](spark, small_dir))
     assert text.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in text
 
 
 def test_manifest_reads_no_column(spark, small_dir):
-    text = plan(queries()["bronze_manifest"](spark, small_dir))
+    text = plan(QUERIES["bronze_manifest"](spark, small_dir))
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", text)) == {""}
 
 
@@ -90,7 +90,7 @@ def test_calendar_is_broadcast_by_its_estimated_size(chain):
 
 
 def test_latest_line_is_limited_before_the_shuffle(spark, small_dir):
-    text = plan(queries()["silver_dedup_latest"](spark, small_dir))
+    text = plan(QUERIES["silver_dedup_latest"](spark, small_dir))
     before_shuffle = text[text.index("Exchange hashpartitioning") :]
     assert "row_number(), 1, Partial" in before_shuffle
 
