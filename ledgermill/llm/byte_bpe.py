@@ -19,7 +19,7 @@ from ledgermill.llm.common import slices
 
 # Bounds of what a worker remembers: states, after which the machine no longer grows, and
 # pairs of tokens and pieces, which are forgotten and filled again as needed.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 500_000, 500_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 300_000, 250_000
 # Pieces, and ids, of one text handled at once.
 CHUNK = 50_000
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text handled at once in a task; a longer text is handled alone.
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -108,7 +108,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept between calls up to the usual slice."""
     have = _powers.get("base")
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES // 4)
+        size = max(n, SLICE_BYTES)
         tables = []
         for base in (_BASE, _BASE_INVERSE):
             table = np.full(size, base, np.uint64)
