@@ -27,7 +27,7 @@ PERCENT = 80
 # Counters of the frequency table by which shingles are ordered; 4 bytes each.
 COUNTERS = 1 << 18
 # Longest extra prefix, and the cost of checking a pair against that of reading a posting.
-MOST_MATCHES, CHECK_COST = 32, 8.0
+MOST_MATCHES, CHECK_COST = 32, 1.0
 # Documents to fetch again whose ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 # Tables of counters added up by one task.
