@@ -202,6 +202,13 @@ def _can_meet() -> Column:
     return similar_size & (_place("x_about") < x + extra) & (_place("y_about") < y + extra)
 
 
+def _can_meet_from(least: str) -> Column:
+    """Is the posting within the prefix called for by any partner of ``least`` shingles or more?"""
+    x = _size("x_about")
+    partner = F.greatest(F.col(least), F.call_function("div", PERCENT * x + 99, F.lit(100)))
+    return _place("x_about") < x + _matches("x_about") - _needed(x, partner)
+
+
 def _candidates(meetings: DataFrame) -> DataFrame:
     """Pairs (x, y) that share enough prefix shingles, of rows (x, x_about, y, y_about)."""
     met = (
@@ -296,8 +303,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(
         placed.select("shingle", "x", "x_about", F.coalesce("root", "x").alias("in_x"))
     )
-    mixed = placed.groupBy("shingle").agg(F.min("in_x").alias("low"), F.max("in_x").alias("high"))
-    mixed = placed.join(mixed.where("low < high").select("shingle"), "shingle")
+    mixed = placed.groupBy("shingle").agg(
+        F.min("in_x").alias("low"), F.max("in_x").alias("high"), F.min(_size("x_about")).alias("least")
+    )
+    mixed = placed.join(mixed.where("low < high").select("shingle", "least"), "shingle")
+    mixed = mixed.where(_can_meet_from("least")).drop("least")
     other = mixed.toDF("shingle", "y", "y_about", "in_y")
     across = mixed.join(other, "shingle").where("x < y and in_x <> in_y")
     more = stored(_verified(docs, _candidates(across)))
