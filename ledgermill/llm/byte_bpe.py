@@ -72,6 +72,20 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        # Of each node the longest token that its bytes begin with; of each token the next
+        # shorter one that it begins with, and its length.
+        self.longest = [-1] * len(self.children)
+        self.shorter = [-1] * (max(self.bytes_of) + 1)
+        self.lengths = [0] * (max(self.bytes_of) + 1)
+        waiting = [(ROOT, -1)]
+        while waiting:
+            node, above = waiting.pop()
+            token = self.token_at[node]
+            if token >= 0:
+                self.shorter[token], self.lengths[token] = above, len(self.bytes_of[token])
+                above = token
+            self.longest[node] = above
+            waiting += [(child, above) for child in self.children[node].values()]
         #: What two neighbours merge to, of all tokens that are two tokens side by side.
         self.joins: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -179,36 +193,37 @@ class Transducer:
 
         Texts hold many pieces that never come again; no states are made for those.
         """
-        children, token_at, pairs, n = self.children, self.token_at, self.pairs, len(piece)
-        path, at, ways = [], 0, []
-        left = set()
+        children, longest, shorter, lengths = self.children, self.longest, self.shorter, self.lengths
+        pairs, n = self.pairs, len(piece)
+        path, at, before, left, token = [], 0, 0, set(), -1
         while at < n:
-            if len(ways) == len(path):
-                node, found, end = ROOT, [], at
-                while end < n:
-                    node = children[node].get(piece[end])
-                    if node is None:
+            if token < 0:
+                node = ROOT
+                for byte in piece[at:]:
+                    child = children[node].get(byte)
+                    if child is None:
                         break
-                    end += 1
-                    token = token_at[node]
-                    if token >= 0:
-                        found.append((token, end))
-                ways.append(found)
-            found = ways[-1]
-            while found:
-                token, end = found.pop()
-                last = path[-1] if path else -1
-                fit = pairs.get((last + 1) << 32 | token)
+                    node = child
+                token = longest[node]
+            while token >= 0:
+                fit = pairs.get(before | token)
                 if fit is None:
-                    fit = self.fits(last, token)
-                if fit and end not in left:
+                    fit = self.fits((before >> 32) - 1, token)
+                if fit and at + lengths[token] not in left:
                     path.append(token)
-                    at = end
+                    at += lengths[token]
+                    before = (token + 1) << 32
+                    token = -1
                     break
+                token = shorter[token]
             else:
-                ways.pop()
-                left.add(at)
-                at -= len(self.bytes_of[path.pop()])
+                # No token goes on from here: give up the last one for a shorter one.
+                while token < 0:
+                    left.add(at)
+                    token = path.pop()
+                    at -= lengths[token]
+                    token = shorter[token]
+                before = (path[-1] + 1) << 32 if path else 0
         return tuple(path)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
