@@ -187,15 +187,16 @@ class Transducer:
         state.steps[byte] = to, emitted
         return to, emitted
 
-    def follow(self, piece: bytes) -> tuple[int, ...]:
-        """The path of the machine through a piece, its guesses tried one by one, the longest
-        token first. Each place is reached by one path at most, so a place left is done with.
+    def follow(self, piece: bytes, path: list[int]) -> tuple[int, ...]:
+        """The path of the machine through a piece from the tokens in ``path`` on, which all its
+        guesses agree on. What comes then is tried one by one, the longest token first. Each place is reached by one path at most, so a place left is done with.
 
         Texts hold many pieces that never come again; no states are made for those.
         """
         children, longest, shorter, lengths = self.children, self.longest, self.shorter, self.lengths
         pairs, n = self.pairs, len(piece)
-        path, at, before, left, token = [], 0, 0, set(), -1
+        at, left, token = sum([lengths[t] for t in path]), set(), -1
+        before = (path[-1] + 1) << 32 if path else 0
         while at < n:
             if token < 0:
                 node = ROOT
@@ -237,7 +238,7 @@ class Transducer:
                 # One new step for each piece: the machine grows where pieces agree.
                 if len(self.states) < MAX_STATES:
                     self.step(state, byte)
-                return self.follow(piece)
+                return self.follow(piece, out)
             state, emitted = found
             if emitted:
                 out += emitted
