@@ -33,10 +33,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every group of near-duplicates the document with the least id."""
+    """Keeps one row of every group of near-duplicates, that with the least id.
+
+    A row stands by a hash of its id and text, so rows without an id and unlike texts of one
+    id are near-duplicates by their texts only. Of a group a null id comes last, and of rows
+    that repeat id and text one is kept.
+    """
     ship(spark)
-    copies = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    row = F.xxhash64("doc_id", "text").alias("_row")
+    texts = docs.select(row, "doc_id", "text")
+    groups = near_duplicates(texts.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias("_row")).agg(
+        F.min("component_id").alias("group"), F.count("*").alias("copies")
+    )
+    ids = texts.select("_row", "doc_id").groupBy("_row").agg(F.min("doc_id").alias("id"))
+    groups = stored(groups.join(ids, "_row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")
+    firsts = groups.groupBy("group").agg(first, F.count("*").alias("members"))
+    firsts = firsts.where("members > 1").select("group", F.col("first._row").alias("kept"))
+    marked = groups.join(firsts, "group", "left")
+    others = marked.where("_row <> kept").select("_row")
+    repeated = marked.where("copies > 1 and (kept is null or _row = kept)").select("_row")
+    left = docs.withColumn("_row", row).join(stored(others), "_row", "left_anti")
+    repeated = stored(repeated)
+    once = left.join(repeated, "_row", "left_anti")
+    again = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgermill.llm.common import stored
 from tests.llm import brute
@@ -50,3 +54,23 @@ def test_empty_and_odd_documents(llm_spark, oracle_dir, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(llm_spark, docs, oracle_dir)
     assert docs.collect() == []
+
+
+def test_one_of_repeated_rows_and_null_ids_comes_out(llm_spark, oracle_dir):
+    rng = random.Random(3)
+
+    def text(n=120):
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+    twice, copied, alone, near, one, other = (text() for _ in range(6))
+    rows = [
+        (1, twice), (1, twice), (2, copied), (None, copied), (None, alone), (None, alone),
+        (3, near), (None, near + " more"), (4, one), (4, other), (5, None), (6, ""), (7, text()),
+    ]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    kept = stored(corpus_pipeline.ngram_jaccard(llm_spark, docs, oracle_dir))
+    wanted = [rows[k] for k in (0, 2, 4, 6, 8, 9, 10, 11, 12)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(wanted, key=str)
+    cut = corpus_pipeline.suffix_dedup(llm_spark, kept.withColumn("n_chars", F.length("text")), oracle_dir)
+    clean = [r for r in wanted if r[1]]
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(clean, key=str)
