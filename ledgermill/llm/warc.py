@@ -19,12 +19,12 @@ from ledgermill.llm.common import shared_folder, stored
 MAGIC = b"\x1f\x8b\x08"
 # A task reads the records that start in this many bytes of a file.
 RANGE_BYTES = 8 * 1024 * 1024
-# Bytes fetched at once, and the most a record's headers may take.
-READ_BYTES, HEADER_BYTES = 1024 * 1024, 64 * 1024
+# Bytes fetched at once.
+READ_BYTES = 1024 * 1024
 # Payloads of at least this many bytes are written once and revisited after.
 LEAST_PAYLOAD = 0
 LEVEL = 2
-_END = b"\r\n\r\n"
+_OPENING, _END = b"WARC/1.", b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = (
@@ -89,7 +89,7 @@ def _page_id(record_id: str) -> int | None:
 def parse_head(data: bytes) -> dict[str, str] | None:
     """The headers of a record, if ``data`` begins with some."""
     end = data.find(_END)
-    if not data.startswith(b"WARC/1.") or end < 0:
+    if not data.startswith(_OPENING) or end < 0:
         return None
     lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
     return dict(line.split(": ", 1) for line in lines if ": " in line)
@@ -147,7 +147,7 @@ def read_range(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator
     """The records of a file that start in ``[start, end)``, unpacked.
 
     The range is scanned for gzip's magic. A place with it begins a record only if it
-    unpacks to WARC headers and on to the end of a gzip member with the right checksum;
+    unpacks to WARC headers, of any length, and on to the end of a gzip member with the right checksum;
     the magic may also stand inside packed data. After a record the next one is tried
     first where that ended. A record is read to its end, wherever that lies.
     """
@@ -172,19 +172,20 @@ def read_range(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator
 
 def _member(window: _Window) -> tuple[int, bytes | None]:
     """Length and content of the member that the window begins with, None if it is none."""
-    unpack, parts, used, checked = zlib.decompressobj(31), [], 0, False
+    unpack, parts, used, opening = zlib.decompressobj(31), [], 0, b""
     while True:
         try:
             parts.append(unpack.decompress(window.data[used:]))
         except zlib.error:
             return 0, None
         used = len(window.data) - len(unpack.unused_data)
-        if not checked and (unpack.eof or sum(map(len, parts)) >= HEADER_BYTES):
-            if parse_head(b"".join(parts)) is None:
+        if len(opening) < len(_OPENING):
+            opening += parts[-1][: len(_OPENING) - len(opening)]
+            if not _OPENING.startswith(opening):
                 return 0, None
-            checked = True
         if unpack.eof:
-            return used, b"".join(parts)
+            content = b"".join(parts)
+            return (0, None) if parse_head(content) is None else (used, content)
         if not window.more():
             return 0, None
 

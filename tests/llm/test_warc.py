@@ -75,3 +75,14 @@ def test_every_record_belongs_to_the_range_it_starts_in(tmp_path, step):
             for content in warc.read_range(file, len(data), start, end):
                 found[warc.parse_record(content)[0]].append(warc.parse_record(content)[-1])
     assert {k: [p] for k, p in enumerate(payloads)} == found
+
+
+def test_long_headers_come_back_wherever_a_read_ends(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 70_000)
+    urls = [os.urandom(n).hex() for n in (10, 150_000, 20, 400_000)]
+    data = b"".join(warc.record(k, u, b"page", k) for k, u in enumerate(urls))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    with fs.LocalFileSystem().open_input_file(str(path)) as file:
+        read = [warc.parse_record(c)[1] for c in warc.read_range(file, len(data), 0, len(data))]
+    assert read == urls
