@@ -147,6 +147,35 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(grams)
 
 
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word, A-Z as a-z, and the number of the first word of each text.
+
+    Works through blocks that end outside of words, so that beside one block (or one longer
+    word) it holds two numbers a word, however long a text is.
+    """
+    hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at, length = 0, SLICE_BYTES
+    while at < len(data):
+        end = min(at + length, len(data))
+        inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end, "right")]
+        if end < len(data):
+            outside = np.flatnonzero(~in_word[data[at:end]])
+            cut = max(at + int(outside[-1]) + 1 if len(outside) else at, int(inner[-1]) if len(inner) else at)
+            if cut == at:
+                length *= 2
+                continue
+            end, length = cut, SLICE_BYTES
+        block = LOWER[data[at:end]]
+        heads = np.concatenate([[0], inner[inner < end] - at, [end - at]])
+        starts, ends, _ = words_of(block, heads, in_word)
+        hashes.append(span_hashes(block, starts, ends))
+        begins.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every run, one run after another."""
     total = int(lengths.sum())

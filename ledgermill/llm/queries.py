@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermill.llm import circulant, merkle
 from ledgermill.llm.byte_bpe import ByteBpe
 from ledgermill.llm.common import ship
 from ledgermill.llm.decontamination import decontaminate
@@ -16,6 +17,7 @@ from ledgermill.llm.licenses import scan_licenses
 from ledgermill.llm.quality import score_repetition
 from ledgermill.llm.suffix_dedup import SuffixDedup, digests
 from ledgermill.llm.url_lists import apply_lists, patterns_of
+from ledgermill.llm.vector_codes import VectorCodes
 from ledgermill.llm.warc import round_trip
 
 
@@ -105,10 +107,22 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_lists(captures, listed(pages))
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VectorCodes(_table(spark, sf_dir, "embeddings")).codes()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_ngram_jaccard, op3_fuzzy_passages, op4_decontamination, op5_byte_bpe, op6_language_id, op7_warc, op8_quality_rules,
-        op9_license_scan, op10_url_lists,
+        op9_license_scan, op10_url_lists, op11_circulant_minhash, op12_merkle_manifest, op13_vector_codes,
     )
 }
