@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm.common import (
@@ -28,9 +27,8 @@ UNIVERSE_BITS = 22
 # Two sets meet where all ROWS coordinates of one of BANDS bands agree. A pair of similarity
 # 0.8 meets nowhere with probability (1 - 0.8^5)^40, about 1 in 7 million.
 BANDS, ROWS = 40, 5
-# Buckets that still hold more classes of several components are told apart by a further
-# band, up to this many times, before their members are paired.
-CROWD, REFINEMENTS = 256, 3
+# Members of mixed buckets of more classes are paired by their rarest shingles.
+CROWD = 8
 # Documents to fetch again whose ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 # Shingles, and rows of the shifted permutation, handled at once.
@@ -144,11 +142,9 @@ def _similar_size(a: str, b: str):
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole shingle sets are similar enough."""
-    pairs = stored(pairs)
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = stored(classes.join(stored(wanted), "row", "left_semi"))
+def _sets_of(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The whole shingle sets (row, shingles) of the classes in ``rows`` (row)."""
+    wanted = stored(classes.join(stored(rows.distinct()), "row", "left_semi"))
     ids = stored(wanted.select("doc_id").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -156,7 +152,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     found = texts.select("text").mapInArrow(_sets, "s1 long, s2 long, shingles array<long>")
     # Copies of a text are merged before they are moved.
     found = found.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
-    sets = stored(found.join(wanted, ["s1", "s2"]).select("row", "shingles"))
+    return stored(found.join(wanted, ["s1", "s2"]).select("row", "shingles"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole shingle sets are similar enough."""
+    pairs = stored(pairs)
+    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
+    sets = _sets_of(docs, classes, rows)
     left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -196,21 +199,6 @@ def _mixed(postings: DataFrame) -> DataFrame:
     return stored(postings.drop("size").join(spread, "key"))
 
 
-def _refined(crowded: DataFrame, bands: DataFrame) -> DataFrame:
-    """Postings by a crowded key and a further band, so that members meet where both agree.
-
-    ``used`` holds the bands of a key, which all its members share.
-    """
-    by_class = crowded.join(bands, "row")
-    further = by_class.select(
-        "row", "n", "root", "used", "key", F.explode(F.array_except("bands", "used")).alias("band")
-    )
-    return further.select(
-        "row", "n", "root",
-        F.xxhash64("key", "band").alias("key"), F.array_append("used", F.col("band")).alias("used"),
-    )
-
-
 def _pairs_across(buckets: DataFrame) -> DataFrame:
     """Pairs of classes of one bucket, of different components and of similar size.
 
@@ -230,6 +218,35 @@ def _pairs_across(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _crowd_pairs(docs: DataFrame, classes: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Pairs of the classes in ``crowd`` (row, n, root), of different components, that may link.
+
+    Members of crowded buckets are alike, so bands hardly tell them apart. What does is the
+    shingles that few of them hold: two linked sets have one in common among the rarest
+    fifth of each, and from the first such on there must be enough left in both.
+    """
+    crowd = stored(crowd.distinct())
+    sets = _sets_of(docs, classes, crowd.select("row"))
+    held = crowd.join(sets, "row").select("row", "n", "root", F.explode("shingles").alias("shingle"))
+    holders = stored(held.groupBy("shingle").agg(F.count("*").alias("holders")))
+    rarest = Window.partitionBy("row").orderBy("holders", "shingle")
+    ranked = held.join(holders, "shingle").withColumn("place", F.row_number().over(rarest) - 1)
+    least = F.call_function("div", PERCENT * F.col("n") + 99, F.lit(100))
+    ranked = ranked.where((F.col("place") <= F.col("n") - least) & (F.col("holders") > 1))
+    postings = ranked.select("row", "n", "root", "place", F.col("shingle").alias("key"))
+    postings = _mixed(stored(postings)).drop("size")
+    a, b = (postings.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "root", "place"))) for s in "ab")
+    both = F.call_function(
+        "div", PERCENT * (F.col("n_a") + F.col("n_b")) + 99 + PERCENT, F.lit(100 + PERCENT)
+    )
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    pairs = a.join(b, "key").where(
+        (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & (room >= both)
+        & _similar_size("n_a", "n_b")
+    )
+    return pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Size of each document's shingle set, the least doc_id linked to it by a chain, and if it stays.
 
@@ -237,10 +254,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets are one class. The signature of a class comes from two permutations, one of them
     shifted step by step; classes that agree in a band meet in its bucket. Each class is
     first checked with the head of its buckets. In buckets that then still hold several
-    components, classes of different ones are checked; there, a crowded bucket is first cut
-    by a further band, in which a linked pair misses each other with the same 1 in 7
-    million. Pairs inside a component change nothing and are left out. All checks use the
-    whole sets, so no wrong link is made.
+    components, classes of different ones are checked, in crowded ones those that share
+    a rare enough shingle, which all that link do. Pairs inside a component change nothing
+    and are left out. All checks use the whole sets, so no wrong link is made.
 
     Null, empty and white-space texts have no shingles and link with nothing. Every row is a
     document of its own, also when it repeats another or its doc_id. Rows with a null doc_id
@@ -267,18 +283,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     known = roots.withColumnRenamed("node", "row")
     rooted = buckets.join(known, "row", "left").select(
-        "row", "n", "key", F.coalesce("root", "row").alias("root"), F.array("key").alias("used")
+        "row", "n", "key", F.coalesce("root", "row").alias("root")
     )
     left = _mixed(stored(rooted))
-    parts = [left.where(F.col("size") <= CROWD)]
-    for _ in range(REFINEMENTS):
-        crowded = left.where(F.col("size") > CROWD)
-        if crowded.isEmpty():
-            break
-        left = _mixed(stored(_refined(crowded, bands.select("row", "bands"))))
-        parts.append(left.where(F.col("size") <= CROWD))
-    parts.append(left.where(F.col("size") > CROWD))
-    more = _verified(docs, classes, _pairs_across(reduce(DataFrame.unionByName, parts)))
+    pairs = _pairs_across(left.where(F.col("size") <= CROWD))
+    crowd = left.where(F.col("size") > CROWD).select("row", "n", "root")
+    pairs = pairs.union(_crowd_pairs(docs, classes, crowd)).distinct()
+    more = _verified(docs, classes, pairs)
 
     roots = smallest_reachable(stored(links.union(more)))
     placed = classes.join(roots.withColumnRenamed("node", "row"), "row", "left")

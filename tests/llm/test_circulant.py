@@ -54,7 +54,7 @@ def test_odd_texts(odd_docs):
     assert found(odd_docs) == brute_force(list(enumerate(ODD_TEXTS)))
 
 
-@pytest.mark.parametrize("crowd", [2, 256])
+@pytest.mark.parametrize("crowd", [0, 256])
 def test_chains_families_and_templates(llm_spark, monkeypatch, crowd):
     monkeypatch.setattr(circulant, "CROWD", crowd)
     rng = random.Random(8)
