@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 ERROR = "error"
 WARNING = "warning"
 
+# Fingerprints that two tables are compared by.
+RECON_BUCKETS = 1 << 16
+
 RESULT_DDL = (
     "check_id string, layer string, table_name string, severity string, "
     "total bigint, failed bigint, passed boolean"
@@ -57,12 +60,19 @@ def in_range(
     return Rule(f"range:{table}.{column}", severity, outside)
 
 
-def row_rules(df: DataFrame, layer: str, table: str, rules: Sequence[Rule]) -> DataFrame:
-    """Checks all rules in one aggregate over one scan; one result row per rule."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *(F.count_if(rule.broken).alias(f"failed_{i}") for i, rule in enumerate(rules)),
-    )
+def rule_counts(rules: Sequence[Rule], among: Column | None = None) -> list[Column]:
+    """Rows in all, and rows that break each rule, of those that ``among`` holds for."""
+    counted = F.lit(True) if among is None else among
+    return [
+        F.count_if(counted).alias("total"),
+        *(F.count_if(counted & rule.broken).alias(f"failed_{i}") for i, rule in enumerate(rules)),
+    ]
+
+
+def rule_results(
+    counts: DataFrame, layer: str, table: str, rules: Sequence[Rule]
+) -> DataFrame:
+    """One result row per rule from the one row of ``rule_counts``."""
     results = F.array(
         *(
             F.struct(
@@ -77,6 +87,11 @@ def row_rules(df: DataFrame, layer: str, table: str, rules: Sequence[Rule]) -> D
     return _result(checked, F.col("check_id"), layer, table, F.col("severity"))
 
 
+def row_rules(df: DataFrame, layer: str, table: str, rules: Sequence[Rule]) -> DataFrame:
+    """Checks all rules in one aggregate over one scan; one result row per rule."""
+    return rule_results(df.agg(*rule_counts(rules)), layer, table, rules)
+
+
 def unique(
     df: DataFrame, layer: str, table: str, keys: Sequence[str], severity: str
 ) -> DataFrame:
@@ -137,25 +152,65 @@ def row_recon(
     table: str,
     check_id: str,
     severity: str = ERROR,
+    key: str | None = None,
 ) -> DataFrame:
     """Counts rows held by one side and not by the other, copies included.
 
-    The same answer as ``exceptAll`` both ways, from one shuffle: rows of the
-    left count +1 and rows of the right -1, and whatever does not cancel out is
-    a difference.
+    The same answer as ``exceptAll`` both ways. Rows are put in buckets by a hash of
+    ``key`` (the first column by default), and each bucket gets a fingerprint: its number of rows and the sums of two
+    hashes of all columns, those of the left minus those of the right, added up before
+    anything is shuffled. Only rows of buckets whose fingerprint is not zero are shuffled and
+    compared, which are none where both sides agree.
     """
-    sides = left.withColumn("_side", F.lit(1)).unionByName(
-        right.select(*left.columns).withColumn("_side", F.lit(-1))
-    )
-    per_row = sides.groupBy(*left.columns).agg(
-        F.sum("_side").alias("surplus"), F.count_if(F.col("_side") == 1).alias("n")
+    key = key or left.columns[0]
+    right = right.select(*left.columns)
+    prints = _fingerprints(left, key, 1).unionByName(_fingerprints(right, key, -1))
+    names = [name for name in prints.columns if name != "_bucket"]
+    per_bucket = prints.groupBy("_bucket").agg(*(F.sum(name).alias(name) for name in names))
+    differ = reduce(lambda a, b: a | b, (F.col(name) != 0 for name in names if name != "total"))
+    # At most one number for each of RECON_BUCKETS.
+    open_buckets = F.broadcast(per_bucket.filter(differ).select("_bucket"))
+
+    sides = (
+        side.withColumns({"_bucket": _bucket(key), "_side": F.lit(sign)}).join(
+            open_buckets, "_bucket", "left_semi"
+        )
+        for side, sign in ((left, 1), (right, -1))
     )
-    counts = per_row.agg(
-        F.sum("n").alias("total"), F.sum(F.abs("surplus")).alias("failed")
+    per_row = reduce(DataFrame.unionByName, sides).groupBy(*left.columns)
+    surplus = per_row.agg(F.sum("_side").alias("surplus"))
+    none = F.lit(0).cast("bigint")
+    counts = per_bucket.select("total", none.alias("failed")).unionByName(
+        surplus.select(none.alias("total"), F.abs("surplus").alias("failed"))
     )
+    counts = counts.agg(F.sum("total").alias("total"), F.sum("failed").alias("failed"))
     return _result(counts, F.lit(check_id), layer, table, severity)
 
 
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(RECON_BUCKETS)).cast("int")
+
+
+def _fingerprints(side: DataFrame, key: str, sign: int) -> DataFrame:
+    """Rows, and signed sums of two row hashes, per bucket.
+
+    Sums are of halves of 32 bits, so 2^31 rows of a bucket fit. A hash passes over nulls, so
+    which columns are null is hashed too.
+    """
+    nulls = F.concat(*(F.col(name).isNull().cast("int").cast("string") for name in side.columns))
+    hashes = [F.xxhash64(F.lit(seed), nulls, *side.columns) for seed in (1, 2)]
+    halves = [
+        half
+        for value in hashes
+        for half in (F.shiftrightunsigned(value, 32), value.bitwiseAND(0xFFFFFFFF))
+    ]
+    return side.groupBy(_bucket(key).alias("_bucket")).agg(
+        F.count(F.lit(max(sign, 0) or None)).alias("total"),
+        (F.count(F.lit(1)) * sign).alias("rows"),
+        *((F.sum(half) * sign).alias(f"print_{i}") for i, half in enumerate(halves)),
+    )
+
+
 def amount_recon(
     headers: DataFrame,
     lines: DataFrame,
@@ -204,15 +259,24 @@ def date_coverage(
     return _result(counts, F.lit(f"date_coverage:{table}.{date_key}"), layer, table, severity)
 
 
-def set_aside(df: DataFrame, table: str, allowed: float) -> DataFrame:
-    """Source rows of a cleaned table in quarantine: an error above the share ``allowed``."""
+def set_aside_counts() -> list[Column]:
+    """Source rows of a cleaned table, and those of them in quarantine."""
     aside = F.when(F.col("row_status") == "quarantine", F.col("source_rows"))
-    counts = df.agg(F.sum("source_rows").alias("total"), F.sum(aside).alias("failed"))
-    too_many = F.coalesce(F.col("failed"), F.lit(0)) > allowed * F.coalesce("total", F.lit(0))
+    return [F.sum("source_rows").alias("total"), F.sum(aside).alias("failed")]
+
+
+def set_aside_result(counts: DataFrame, table: str, allowed: float) -> DataFrame:
+    """An error where more than the share ``allowed`` is set aside."""
+    too_many = F.coalesce("failed", F.lit(0)) > allowed * F.coalesce("total", F.lit(0))
     severity = F.when(too_many, F.lit(ERROR)).otherwise(F.lit(WARNING))
     return _result(counts, F.lit(f"quarantine:{table}"), "silver", table, severity)
 
 
+def set_aside(df: DataFrame, table: str, allowed: float) -> DataFrame:
+    """Source rows of a cleaned table in quarantine: an error above the share ``allowed``."""
+    return set_aside_result(df.agg(*set_aside_counts()), table, allowed)
+
+
 def schema_problems(df: DataFrame, contract: StructType) -> list[str]:
     """How names, order or types of the columns differ from the contract."""
     problems = []

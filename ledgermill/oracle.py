@@ -308,15 +308,23 @@ _KEPT_OR_SET_ASIDE = {
                 WHERE o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM s_customer))
             + (SELECT count(*) FROM s_orders WHERE o_custkey IS NOT NULL
                 AND o_custkey NOT IN (SELECT c_custkey FROM s_customer))""",
+    # The rows kept and the rows set aside, each found and merged on its own.
     "lineitem": """
-        SELECT count(*) FILTER (WHERE resolves) + count(*) FILTER (WHERE NOT resolves)
-        FROM (
-            SELECT (l_orderkey IS NULL OR l_orderkey IN (SELECT o_orderkey FROM s_orders))
-                AND (l_partkey IS NULL OR l_partkey IN (SELECT p_partkey FROM s_part))
-                AND (l_suppkey IS NULL OR l_suppkey IN (SELECT s_suppkey FROM s_supplier))
-                AS resolves
-            FROM s_lineitem
-        )""",
+        SELECT (SELECT coalesce(sum(n), 0) FROM (
+                SELECT count(*) AS n FROM s_lineitem
+                LEFT JOIN (SELECT DISTINCT o_orderkey FROM s_orders) ON l_orderkey = o_orderkey
+                LEFT JOIN (SELECT DISTINCT p_partkey FROM s_part) ON l_partkey = p_partkey
+                LEFT JOIN (SELECT DISTINCT s_suppkey FROM s_supplier) ON l_suppkey = s_suppkey
+                WHERE (l_orderkey IS NULL OR o_orderkey IS NOT NULL)
+                    AND (l_partkey IS NULL OR p_partkey IS NOT NULL)
+                    AND (l_suppkey IS NULL OR s_suppkey IS NOT NULL)
+                GROUP BY ALL))
+            + (SELECT coalesce(sum(n), 0) FROM (
+                SELECT count(*) AS n FROM s_lineitem
+                WHERE l_orderkey NOT IN (SELECT o_orderkey FROM s_orders)
+                    OR l_partkey NOT IN (SELECT p_partkey FROM s_part)
+                    OR l_suppkey NOT IN (SELECT s_suppkey FROM s_supplier)
+                GROUP BY ALL))""",
 }
 
 _LAYER_COUNTS = [
@@ -363,9 +371,10 @@ _ROW_RECON = [
         "n",
         "off",
         _both_ways(
-            "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER), "
-            "o_totalprice FROM s_orders",
-            "SELECT order_key, order_date_key, order_total FROM fact_orders",
+            "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER), o_custkey, "
+            "o_orderstatus, o_orderpriority, o_totalprice FROM s_orders",
+            "SELECT order_key, order_date_key, customer_key, order_status, order_priority, "
+            "order_total FROM fact_orders",
         ),
     ),
     _check(
@@ -377,9 +386,11 @@ _ROW_RECON = [
         "off",
         _both_ways(
             "SELECT l_orderkey, l_linenumber, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER), "
-            "l_quantity, gross_amount, net_amount, tax_amount FROM amounts",
-            "SELECT order_key, line_number, ship_date_key, quantity, gross_amount, "
-            "net_amount, tax_amount FROM fact_sales",
+            "l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity, gross_amount, "
+            "discount_amount, net_amount, tax_amount, total_amount FROM amounts",
+            "SELECT order_key, line_number, ship_date_key, product_key, supplier_key, "
+            "return_flag, line_status, quantity, gross_amount, discount_amount, net_amount, "
+            "tax_amount, total_amount FROM fact_sales",
         ),
     ),
 ]
@@ -450,6 +461,11 @@ _REPORTS = {
             CAST(sum(tax_amount) AS DECIMAL(38,6)) AS tax, count(*) AS line_count
         FROM fact_sales LEFT JOIN dim_date ON order_date_key = date_key
         GROUP BY year, month, market_segment""",
+    "order_value_spread": """
+        SELECT year AS order_year, count(o_totalprice) AS order_count,
+            min(o_totalprice) AS least_total, max(o_totalprice) AS greatest_total
+        FROM s_orders LEFT JOIN dim_date ON o_orderdate = date
+        GROUP BY year""",
     "revenue_rollup": """
         SELECT year AS order_year, quarter AS order_quarter,
             CAST(sum(order_total) AS DECIMAL(38,2)) AS order_total, count(*) AS order_count,

@@ -157,8 +157,9 @@ def customer_pareto(fact_orders: DataFrame, dim_customer: DataFrame) -> DataFram
     located = per_customer.join(
         dim_customer.select("customer_key", "c_custkey", "region_name"), "customer_key"
     )
-    order = [F.desc("order_total"), F.asc("c_custkey")]
-    running = running_total(located, "region_name", order, "order_total")
+    running = running_total(
+        located, "region_name", ["-order_total", "c_custkey"], "order_total"
+    )
     region_total = F.col("group_total").cast("double")
     return running.select(
         "region_name",

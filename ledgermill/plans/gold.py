@@ -95,6 +95,19 @@ def dim_supplier(supplier: DataFrame, geography: DataFrame) -> DataFrame:
     )
 
 
+def order_headers(orders: DataFrame) -> DataFrame:
+    """One row per order, with what is known without its customer."""
+    return orders.select(
+        F.col("o_orderkey").alias("order_key"),
+        "o_custkey",
+        date_key("o_orderdate").alias("order_date_key"),
+        F.col("o_orderstatus").alias("order_status"),
+        F.col("o_orderpriority").alias("order_priority"),
+        F.col("o_totalprice").alias("order_total"),
+        F.coalesce(F.year("o_orderdate"), F.lit(UNKNOWN_KEY)).alias("order_year"),
+    )
+
+
 def fact_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """One row per order.
 
@@ -102,17 +115,18 @@ def fact_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     by them, and the customer dimension is too big to be joined for that alone.
     """
     known = customers.select("c_custkey", "customer_key", "market_segment", "region_name")
-    joined = orders.join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
+    headers = order_headers(orders)
+    joined = headers.join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.select(
-        F.col("o_orderkey").alias("order_key"),
-        date_key("o_orderdate").alias("order_date_key"),
+        "order_key",
+        "order_date_key",
         known_or_unknown(F.col("customer_key")).alias("customer_key"),
         _or_unknown("market_segment").alias("market_segment"),
         _or_unknown("region_name").alias("region_name"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderpriority").alias("order_priority"),
-        F.col("o_totalprice").alias("order_total"),
-        F.coalesce(F.year("o_orderdate"), F.lit(UNKNOWN_KEY)).alias("order_year"),
+        "order_status",
+        "order_priority",
+        "order_total",
+        "order_year",
     )
 
 
@@ -187,6 +201,14 @@ def fact_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def dated_sales(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Sales lines with the date of their order alone, for reports without customers."""
+    dates = headers.select("order_key", "order_date_key")
+    dated = lines.join(dates, "order_key", "left")
+    known = F.coalesce("order_date_key", F.lit(UNKNOWN_KEY))
+    return dated.withColumn("order_date_key", known)
+
+
 def _with_geography(df: DataFrame, nation_key: str, geography: DataFrame) -> DataFrame:
     located = df.join(geography, F.col(nation_key) == F.col("n_nationkey"), "left")
     return located.withColumns(

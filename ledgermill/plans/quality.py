@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.contracts import (
@@ -18,7 +18,7 @@ from ledgermill.contracts import (
     REQUIRED,
 )
 from ledgermill.functions.amounts import with_amounts
-from ledgermill.functions.keys import date_key
+from ledgermill.functions.keys import date_key, known_or_unknown, surrogate_key
 from ledgermill.operators.checks import (
     ERROR,
     WARNING,
@@ -32,12 +32,17 @@ from ledgermill.operators.checks import (
     referential,
     row_recon,
     row_rules,
+    rule_counts,
+    rule_results,
     set_aside,
+    set_aside_counts,
+    set_aside_result,
     unique,
 )
+from ledgermill.operators.foreign_keys import OK
 from ledgermill.operators.union import union_all
 from ledgermill.plans.bronze import manifest
-from ledgermill.plans.silver import source_row_counts
+from ledgermill.plans.silver import ok_rows, placed_rows, source_row_counts
 
 Tables = Mapping[str, DataFrame]
 
@@ -106,16 +111,13 @@ def dq_range(silver: Tables) -> DataFrame:
     return _rules_per_table(silver, lambda table, df: range_rules(table))
 
 
+def silver_rules(table: str, df: DataFrame) -> list[Rule]:
+    return [*not_null_rules(table, df), *accepted_value_rules(table), *range_rules(table)]
+
+
 def dq_rows(silver: Tables) -> DataFrame:
     """The three checks above with one scan per table."""
-    return _rules_per_table(
-        silver,
-        lambda table, df: [
-            *not_null_rules(table, df),
-            *accepted_value_rules(table),
-            *range_rules(table),
-        ],
-    )
+    return _rules_per_table(silver, silver_rules)
 
 
 def dq_unique_silver(silver: Tables) -> DataFrame:
@@ -207,27 +209,42 @@ def dq_amount_recon(silver: Tables) -> DataFrame:
 
 
 def dq_row_recon(silver: Tables, gold: Tables) -> DataFrame:
-    """Every silver order and line is in the facts once, with its amounts."""
+    """Every silver order and line is in the facts once, with its keys, flags and amounts."""
     orders = silver["orders"].select(
         F.col("o_orderkey").alias("order_key"),
         date_key("o_orderdate").alias("order_date_key"),
+        known_or_unknown(surrogate_key("o_custkey")).alias("customer_key"),
+        F.col("o_orderstatus").alias("order_status"),
+        F.col("o_orderpriority").alias("order_priority"),
         F.col("o_totalprice").alias("order_total"),
     )
     lines = with_amounts(silver["lineitem"]).select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
         date_key("l_shipdate").alias("ship_date_key"),
+        known_or_unknown(surrogate_key("l_partkey")).alias("product_key"),
+        known_or_unknown(surrogate_key("l_suppkey")).alias("supplier_key"),
+        F.col("l_returnflag").alias("return_flag"),
+        F.col("l_linestatus").alias("line_status"),
         F.col("l_quantity").alias("quantity"),
-        "gross_amount",
-        "net_amount",
-        "tax_amount",
+        *AMOUNTS,
     )
     return union_all(
         row_recon(
-            orders, gold["fact_orders"], "gold", "fact_orders", "row_recon:orders=fact_orders"
+            orders,
+            gold["fact_orders"],
+            "gold",
+            "fact_orders",
+            "row_recon:orders=fact_orders",
+            key="order_key",
         ),
         row_recon(
-            lines, gold["fact_sales"], "gold", "fact_sales", "row_recon:lineitem=fact_sales"
+            lines,
+            gold["fact_sales"],
+            "gold",
+            "fact_sales",
+            "row_recon:lineitem=fact_sales",
+            key="order_key",
         ),
     )
 
@@ -238,65 +255,139 @@ def dq_date_coverage(gold: Tables) -> DataFrame:
     )
 
 
+def dq_cleaned(bronze: Tables, cleaned: Tables) -> DataFrame:
+    """``dq_layer_counts`` and ``dq_quarantine`` from one aggregate per cleaned table."""
+    total, failed = set_aside_counts()
+    counts = {
+        table: df.agg(placed_rows().alias("n_rows"), total, failed)
+        for table, df in cleaned.items()
+    }
+    named = (
+        df.select(F.lit(table).alias("table_name"), "n_rows", "total", "failed")
+        for table, df in counts.items()
+    )
+    # One row per table, exchanged once for both checks.
+    rows = union_all(*named).repartition(1, "table_name")
+    aside = rows.where(F.col("table_name").isin("orders", "lineitem"))
+    return union_all(
+        layer_counts(manifest(bronze), rows.select("table_name", "n_rows"), "silver"),
+        *(
+            set_aside_result(
+                aside.where(F.col("table_name") == table).select("total", "failed"),
+                table,
+                QUARANTINE_SHARE,
+            )
+            for table in ("orders", "lineitem")
+        ),
+    )
+
+
 def dq_summary(bronze: Tables, cleaned: Tables, silver: Tables, gold: Tables) -> DataFrame:
     return union_all(
         dq_rows(silver),
         dq_unique(silver, gold),
         dq_referential(silver),
         dq_cross_column(silver),
-        dq_layer_counts(bronze, cleaned),
-        dq_quarantine(cleaned),
+        dq_cleaned(bronze, cleaned),
         dq_amount_recon(silver),
         dq_row_recon(silver, gold),
         dq_date_coverage(gold),
     )
 
 
-def bronze_checks(source: Tables, bronze: Tables) -> DataFrame:
+# What is counted of a table while it is written, by name.
+Counts = Mapping[str, Mapping[str, int]]
+
+
+def landed_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows")]
+
+
+def cleaned_counts(table: str, cleaned: DataFrame) -> list[Column]:
+    """Rules on the rows that go on to gold, and source rows by where they went."""
+    own = silver_rules(table, ok_rows(cleaned))
+    total, failed = set_aside_counts()
+    return [
+        *rule_counts(own, F.col("row_status") == OK),
+        total.alias("source_total"),
+        failed.alias("source_failed"),
+        placed_rows().alias("n_rows"),
+    ]
+
+
+def fact_rules(table: str) -> list[Rule]:
+    """Rules on written facts.
+
+    Order date and ship date are both in the sales facts, so comparing them needs no join.
+    """
+    keys = [not_null(table, key, ERROR) for key in DIMENSION_KEYS_OF_FACTS[table]]
+    if table == "fact_orders":
+        return [*keys, not_null(table, "order_total", ERROR)]
+    early = Rule(
+        "cross_column:fact_sales.ship_date_key>=order_date_key",
+        WARNING,
+        (F.col("ship_date_key") > 0) & (F.col("ship_date_key") < F.col("order_date_key")),
+    )
+    # A product that does not fit its decimal is null.
+    return [*keys, *(not_null(table, column, ERROR) for column in AMOUNTS), early]
+
+
+def _one_row(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+    columns = ", ".join(f"`{name}` bigint" for name in counts)
+    return spark.createDataFrame([tuple(counts.values())], columns)
+
+
+def _row_counts(spark: SparkSession, counts: Counts) -> DataFrame:
+    rows = [(table, seen["n_rows"] or 0) for table, seen in counts.items()]
+    return spark.createDataFrame(rows, "table_name string, n_rows bigint")
+
+
+def bronze_checks(source: Tables, landed: Counts) -> DataFrame:
     """Everything in the source was landed."""
-    return layer_counts(manifest(source), manifest(bronze), "bronze")
+    spark = next(iter(source.values())).sparkSession
+    return layer_counts(manifest(source), _row_counts(spark, landed), "bronze")
 
 
-def silver_checks(bronze: Tables, cleaned: Tables, silver: Tables) -> DataFrame:
+def silver_checks(landed: Counts, cleaned: Tables, seen: Counts, silver: Tables) -> DataFrame:
     """Checks before the facts are built.
 
+    Rules on rows and counts of rows come from what was counted while the tables were written.
     References of all rows, set aside or not, must resolve in the rows that go on to
     gold, so they fail where rows are set aside; the rest is checked on the rows that go on.
     """
+    spark = next(iter(silver.values())).sparkSession
+    of = {table: _one_row(spark, counts) for table, counts in seen.items()}
+    ruled = (
+        rule_results(of[table], "silver", table, silver_rules(table, df))
+        for table, df in silver.items()
+    )
+    aside = (
+        set_aside_result(
+            of[table].select(
+                F.col("source_total").alias("total"), F.col("source_failed").alias("failed")
+            ),
+            table,
+            QUARANTINE_SHARE,
+        )
+        for table in ("orders", "lineitem")
+    )
     return union_all(
-        dq_rows(silver),
+        *ruled,
         dq_unique_silver(silver),
         dq_referential(cleaned, silver),
-        dq_quarantine(cleaned),
-        dq_layer_counts(bronze, cleaned),
+        *aside,
+        layer_counts(_row_counts(spark, landed), _row_counts(spark, seen), "silver"),
         dq_amount_recon(silver),
     )
 
 
-def gold_checks(silver: Tables, gold: Tables) -> DataFrame:
-    """Checks on written gold tables.
-
-    Order date and ship date are both in the sales facts, so comparing them
-    needs no join here, and shares the scan with the checks on the keys.
-    """
-    sales_keys, order_keys = (
-        [not_null(fact, key, ERROR) for key in DIMENSION_KEYS_OF_FACTS[fact]]
-        for fact in ("fact_sales", "fact_orders")
-    )
-    # A product that does not fit its decimal is null.
-    amounts = [not_null("fact_sales", column, ERROR) for column in AMOUNTS]
-    early = Rule(
-        "cross_column:fact_sales.ship_date_key>=order_date_key",
-        WARNING,
-        (F.col("ship_date_key") > 0) & (F.col("ship_date_key") < F.col("order_date_key")),
-    )
+def gold_checks(silver: Tables, gold: Tables, seen: Counts) -> DataFrame:
+    """Checks on written gold tables; rules on rows were counted while they were written."""
+    spark = gold["fact_sales"].sparkSession
     return union_all(
-        row_rules(gold["fact_sales"], "gold", "fact_sales", [*sales_keys, *amounts, early]),
-        row_rules(
-            gold["fact_orders"],
-            "gold",
-            "fact_orders",
-            [*order_keys, not_null("fact_orders", "order_total", ERROR)],
+        *(
+            rule_results(_one_row(spark, seen[fact]), "gold", fact, fact_rules(fact))
+            for fact in ("fact_sales", "fact_orders")
         ),
         dq_unique_gold(gold),
         dq_row_recon(silver, gold),

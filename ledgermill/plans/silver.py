@@ -11,7 +11,7 @@ from ledgermill.contracts import FOREIGN_KEYS
 from ledgermill.functions.casts import day, key, money, rate, text, whole
 from ledgermill.functions.keys import UNKNOWN_TEXT
 from ledgermill.operators.dedup import exact_dedup
-from ledgermill.operators.foreign_keys import OK, QUARANTINE, mark_orphans, orphan_keys
+from ledgermill.operators.foreign_keys import OK, mark_orphans, orphan_keys
 from ledgermill.operators.union import union_all
 
 
@@ -50,7 +50,7 @@ def silver_part(bronze: DataFrame) -> DataFrame:
     )
 
 
-def silver_orders(bronze: DataFrame) -> DataFrame:
+def silver_orders(bronze: DataFrame, *beside: str) -> DataFrame:
     return bronze.select(
         key("o_orderkey"),
         key("o_custkey"),
@@ -58,10 +58,11 @@ def silver_orders(bronze: DataFrame) -> DataFrame:
         money("o_totalprice"),
         day("o_orderdate"),
         text("o_orderpriority"),
+        *beside,
     )
 
 
-def silver_lineitem(bronze: DataFrame) -> DataFrame:
+def silver_lineitem(bronze: DataFrame, *beside: str) -> DataFrame:
     return bronze.select(
         key("l_orderkey"),
         key("l_partkey"),
@@ -74,10 +75,11 @@ def silver_lineitem(bronze: DataFrame) -> DataFrame:
         text("l_returnflag"),
         text("l_linestatus"),
         day("l_shipdate"),
+        *beside,
     )
 
 
-SILVER: dict[str, Callable[[DataFrame], DataFrame]] = {
+SILVER: dict[str, Callable[..., DataFrame]] = {
     "region": silver_region,
     "nation": silver_nation,
     "customer": silver_customer,
@@ -153,12 +155,20 @@ def ok_rows(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def placed_rows() -> Column:
+    """The source rows that silver and quarantine together stand for.
+
+    Every cleaned row is in one of the two, so its status is not looked at, and a query that
+    counts need not work it out.
+    """
+    return F.coalesce(F.sum("source_rows"), F.lit(0))
+
+
 def source_row_counts(cleaned: Mapping[str, DataFrame]) -> DataFrame:
     """Manifest of the source rows that silver and quarantine together stand for."""
-    placed = F.when(F.col("row_status").isin(OK, QUARANTINE), F.col("source_rows"))
     return union_all(
         *(
-            df.agg(F.coalesce(F.sum(placed), F.lit(0)).alias("n_rows")).select(
+            df.agg(placed_rows().alias("n_rows")).select(
                 F.lit(table).alias("table_name"), "n_rows"
             )
             for table, df in cleaned.items()

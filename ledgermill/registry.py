@@ -24,6 +24,7 @@ from ledgermill.plans.silver import (
     latest_line_order,
     silver_geography,
 )
+from ledgermill.plans.sketches import order_value_spread
 from ledgermill.sources.layers import read_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,14 @@ class Chain:
                 "fact_orders": lambda: gold.fact_orders(
                     self.silver["orders"], self.gold["dim_customer"]
                 ),
+                "order_headers": lambda: gold.order_headers(self.silver["orders"]),
+                # Customers by their source key, which their surrogate key is.
+                "order_facts": lambda: self.gold["order_headers"].withColumnRenamed(
+                    "o_custkey", "customer_key"
+                ),
+                "dated_sales": lambda: gold.dated_sales(
+                    self.gold["sales_lines"], self.gold["order_headers"]
+                ),
                 "sales_lines": lambda: gold.sales_lines(self.silver["lineitem"]),
                 "fact_sales": lambda: gold.fact_sales(
                     self.gold["sales_lines"], self.gold["fact_orders"]
@@ -136,20 +145,22 @@ def _report(report: Callable[..., DataFrame], *tables: str) -> Query:
     return _chained(lambda chain: report(*(chain.gold[table] for table in tables)))
 
 
-# Each report and the gold tables it is given. Ship dates and amounts are known
-# from the lines alone, so that report needs no facts joined with orders.
+# Each report and the tables it is given. Ship dates and amounts are known from the
+# lines alone, and order dates and totals from the orders alone, so reports that group by
+# nothing else need no facts joined with orders or customers.
 _REPORTS = (
     (analytics.revenue_monthly, "fact_sales", "dim_date"),
-    (analytics.revenue_rollup, "fact_orders", "dim_date"),
+    (analytics.revenue_rollup, "order_headers", "dim_date"),
     (analytics.revenue_cube, "fact_sales"),
-    (analytics.revenue_yoy, "fact_sales", "dim_date"),
-    (analytics.revenue_ytd, "fact_sales", "dim_date"),
-    (analytics.revenue_moving_3m, "fact_sales", "dim_date"),
+    (analytics.revenue_yoy, "dated_sales", "dim_date"),
+    (analytics.revenue_ytd, "dated_sales", "dim_date"),
+    (analytics.revenue_moving_3m, "dated_sales", "dim_date"),
     (analytics.top_customers, "fact_sales", "dim_date", "dim_customer"),
     (analytics.customer_pareto, "fact_orders", "dim_customer"),
     (analytics.customer_recency, "fact_orders", "dim_customer"),
     (analytics.gross_to_net, "sales_lines", "dim_date"),
-    (analytics.status_pivot, "fact_orders", "dim_date"),
+    (analytics.status_pivot, "order_headers", "dim_date"),
+    (order_value_spread, "order_facts", "dim_date"),
 )
 
 

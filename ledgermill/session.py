@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +50,6 @@ def settings_for(input_bytes: int | None) -> dict[str, str]:
         "spark.sql.maxConcurrentOutputFileWriters": "16",
         # Recording a stack trace per column takes as long as planning a query.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if input_bytes is not None:
         partitions = max(200, math.ceil(input_bytes / TASK_BYTES))
@@ -62,21 +60,3 @@ def settings_for(input_bytes: int | None) -> dict[str, str]:
             max(TASK_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))
         )
     return settings
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
-
-    The folder named by ``spark.checkpoint.dir`` is used. Only a local session
-    without one gets a scratch folder, since no other machine has to read it.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgermill-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

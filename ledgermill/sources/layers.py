@@ -27,6 +27,12 @@ def read_layer(
     return reader.parquet(path)
 
 
+def check_contract(df: DataFrame, path: str, contract: StructType) -> None:
+    problems = schema_problems(df, contract)
+    if problems:
+        raise SchemaMismatch(f"{path}: {'; '.join(problems)}")
+
+
 def write_layer(
     df: DataFrame,
     path: str,
@@ -40,9 +46,7 @@ def write_layer(
     partitions that ``df`` has rows for. ``df`` must not read from ``path``.
     """
     if contract is not None:
-        problems = schema_problems(df, contract)
-        if problems:
-            raise SchemaMismatch(f"{path}: {'; '.join(problems)}")
+        check_contract(df, path, contract)
     replaced = "dynamic" if only_given_partitions else "static"
     (
         df.write.mode("overwrite")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ledgermill.operators import checks
 from ledgermill.operators.union import union_all
+from ledgermill.registry import Chain
 
 
 def only(df):
@@ -112,6 +114,38 @@ def test_row_recon_equals_except_all_both_ways(spark, seed):
     assert only(checks.row_recon(left, left, "gold", "t", "row_recon:t")) == (30, 0)
 
 
+def test_row_recon_counts_each_change_of_a_column(spark, small_dir):
+    chain = Chain(spark, small_dir)
+    lines = chain.gold["sales_lines"]
+    n, key = lines.count(), lines.first().order_key
+    line = lines.where(F.col("order_key") == key).agg(F.min("line_number")).first()[0]
+    one = (F.col("order_key") == key) & (F.col("line_number") == line)
+    for column, value in (
+        ("net_amount", F.col("net_amount") + Decimal("0.01")),
+        ("discount_amount", F.lit(None)),
+        ("return_flag", F.lit("X")),
+        ("supplier_key", F.lit(-1)),
+        ("order_key", F.lit(10**12)),
+    ):
+        spoiled = lines.withColumn(column, F.when(one, value.cast(lines.schema[column].dataType)).otherwise(F.col(column)))
+        wrong = spoiled.exceptAll(lines).count()
+        assert wrong >= 1
+        result = checks.row_recon(lines, spoiled, "gold", "t", "row_recon:t", key="order_key")
+        assert only(result) == (n, 2 * wrong)
+    lost = lines.where(~one)
+    result = checks.row_recon(lines, lost, "gold", "t", "row_recon:t", key="order_key")
+    assert only(result) == (n, n - lost.count())
+
+
+def test_row_recon_of_equal_sides_shuffles_no_rows(spark, small_dir):
+    lines = Chain(spark, small_dir).gold["sales_lines"]
+    result = checks.row_recon(lines, lines.repartition(5), "gold", "t", "row_recon:t", key="order_key")
+    result.collect()
+    text = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # What is exchanged by hash is buckets, and what stays of the rows' own shuffle is nothing.
+    assert set(re.findall(r"hashpartitioning\((\w+)#", text)) == {"_groupingexpression"}
+
+
 def test_amount_recon(spark):
     headers = spark.createDataFrame(
         [(1, Decimal("10.00")), (2, Decimal("10.00")), (3, Decimal("1.00")), (4, Decimal("10.99"))],

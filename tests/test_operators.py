@@ -10,7 +10,7 @@ from pyspark.testing import assertDataFrameEqual
 
 from ledgermill.operators.dedup import dedup_latest, exact_dedup
 from ledgermill.operators.foreign_keys import mark_orphans, orphan_keys, split_fk
-from ledgermill.operators.running import running_total, sorted_slices
+from ledgermill.operators.running import running_total, sorted_slices, splitters
 from ledgermill.operators.union import union_all
 
 
@@ -92,30 +92,39 @@ def test_mark_without_references(children):
     assert marked.filter("row_status = 'ok' and reject_reason is null").count() == 5
 
 
-@pytest.fixture
-def many_slices(spark):
-    """Keeps Spark from merging the small slices of test tables into one."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
-def test_slices_of_a_group_follow_its_order(spark, many_slices):
+def test_slices_of_a_group_follow_its_order(spark):
     df = spark.range(1000).select(
         F.when(F.col("id") < 900, "big").otherwise("small").alias("g"),
         (F.col("id") % 3).alias("v"),
         F.col("id").alias("k"),
     )
-    sliced = sorted_slices(df, "g", [F.desc("v"), F.asc("k")])
+    sliced = sorted_slices(df, "g", ["-v", "k"])
     rows = sorted(sliced.collect(), key=lambda row: (row.g, -row.v, row.k))
     slices = [row._slice for row in rows]
-    assert slices == sorted(slices)
-    assert len({row._slice for row in rows if row.g == "big"}) >= 5
+    of_big = [row._slice for row in rows if row.g == "big"]
+    assert of_big == sorted(of_big)
+    assert len(set(of_big)) >= 5
+    assert max(Counter(of_big).values()) <= 128
+    assert len(slices) == 1000
+
+
+def test_splitters_are_few_and_the_same_each_time(spark):
+    df = spark.range(200_000).select((F.col("id") % 400).alias("g"), F.col("id").alias("k"))
+    one_group = df.withColumn("g", F.lit(1))
+    for frame in (df, one_group):
+        cuts = splitters(frame, "g", ["-k"])
+        first, again = (sorted(cuts.collect()) for _ in range(2))
+        assert first == again
+        assert sum(len(row._splitters) for row in first) <= 1.2 * 128
+    (row,) = splitters(one_group, "g", ["-k"]).collect()
+    keys = [-cut.k0 for cut in row._splitters]
+    assert all(500 < a - b < 3000 for a, b in zip(keys, keys[1:], strict=False))
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_running_total_equals_brute_force(spark, many_slices, seed):
+def test_running_total_equals_brute_force(spark, monkeypatch, seed):
     """One group has most rows, and a third of all rows share one value."""
+    monkeypatch.setattr("ledgermill.operators.running.SAMPLE", 200 * seed)
     rng = random.Random(seed)
     rows = []
     for key in range(600):
@@ -123,7 +132,7 @@ def test_running_total_equals_brute_force(spark, many_slices, seed):
         value = Decimal(0) if rng.random() < 0.33 else Decimal(rng.randrange(10_000)) / 100
         rows.append((group, key, value))
     df = spark.createDataFrame(rows, "g string, k bigint, v decimal(18,2)").repartition(5)
-    result = running_total(df, "g", [F.desc("v"), F.asc("k")], "v").collect()
+    result = running_total(df, "g", ["-v", "k"], "v", slices=20).collect()
 
     want = {}
     totals = defaultdict(Decimal)
@@ -134,9 +143,18 @@ def test_running_total_equals_brute_force(spark, many_slices, seed):
     assert {row.g: row.group_total for row in result} == dict(totals)
 
 
+def test_running_total_starts_no_job_while_built(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "running total")
+    running_total(df, "g", ["k"], "k")
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_running_total_of_nothing(spark):
     df = spark.createDataFrame([], "g string, k bigint, v decimal(18,2)")
-    assert running_total(df, "g", [F.asc("k")], "v").collect() == []
+    assert running_total(df, "g", ["k"], "v").collect() == []
 
 
 @pytest.mark.parametrize("count", [1, 2, 3, 5, 8])

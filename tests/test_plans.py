@@ -187,3 +187,23 @@ def test_year_filter_prunes_files(spark, chain, tmp_path):
     )
     text = plan(read_layer(spark, str(tmp_path / "facts")).filter("order_year = 1996"))
     assert re.search(r"PartitionFilters: \[isnotnull\(order_year.*\(order_year#\d+ = 1996\)", text)
+
+
+@pytest.mark.parametrize(
+    "name", ["revenue_rollup", "status_pivot", "revenue_yoy", "revenue_ytd", "revenue_moving_3m"]
+)
+def test_reports_without_customers_do_not_read_or_shuffle_them(spark, small_dir, name):
+    text = plan(QUERIES[name](spark, small_dir))
+    assert "o_custkey" not in text and "c_custkey" not in text
+
+
+def test_pareto_writes_nothing_and_cuts_every_region(spark, small_dir):
+    text = plan(QUERIES["customer_pareto"](spark, small_dir))
+    assert "Scan ExistingRDD" not in text
+    assert "BroadcastHashJoin" in text and "_splitters" in text
+
+
+def test_layer_counts_scan_each_table_twice(spark, small_dir):
+    """Once as it came, once cleaned; which rows are orphans is not worked out."""
+    text = plan(QUERIES["dq_layer_counts"](spark, small_dir))
+    assert text.count("lineitem.parquet") == 2 and text.count("orders.parquet") == 2

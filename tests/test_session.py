@@ -1,10 +1,6 @@
 from __future__ import annotations
 
-from types import SimpleNamespace
-
-import pytest
-
-from ledgermill.session import ensure_checkpoint_dir, settings_for
+from ledgermill.session import settings_for
 
 SHUFFLE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SCAN = "spark.sql.files.maxPartitionBytes"
@@ -16,46 +12,3 @@ def test_tasks_are_sized_for_the_input():
     assert (small[SHUFFLE], small[SCAN]) == ("200", str(128 * 2**20))
     assert (large[SHUFFLE], large[SCAN]) == ("7451", str(128 * 2**20))
     assert (huge[SHUFFLE], huge[SCAN]) == ("20000", "1000000000")
-
-
-class Context:
-    def __init__(self, master, folder=None):
-        self.master = master
-        self.folder = folder
-
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
-
-def session(context, **conf):
-    return SimpleNamespace(
-        sparkContext=context,
-        conf=SimpleNamespace(get=lambda name, default: conf.get(name.replace(".", "_"), default)),
-    )
-
-
-def test_shared_checkpoint_folder_is_used():
-    context = Context("spark://head:7077")
-    ensure_checkpoint_dir(session(context, spark_checkpoint_dir="/shared/checkpoints"))
-    assert context.folder == "/shared/checkpoints"
-
-
-def test_checkpoint_folder_already_set_is_kept():
-    context = Context("local[8]", folder="/set/before")
-    ensure_checkpoint_dir(session(context, spark_checkpoint_dir="/shared/checkpoints"))
-    assert context.folder == "/set/before"
-
-
-def test_no_machine_local_folder_on_a_cluster():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        ensure_checkpoint_dir(session(Context("spark://head:7077")))
-
-
-def test_local_session_gets_a_scratch_folder(tmp_path, monkeypatch):
-    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
-    context = Context("local[8]")
-    ensure_checkpoint_dir(session(context))
-    assert context.folder.startswith(str(tmp_path))
