@@ -20,6 +20,8 @@ from ledgermill.llm.common import slices
 # Bounds of what a worker remembers: states, after which the machine no longer grows, and
 # pairs of tokens and pieces, which are forgotten and filled again as needed.
 MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 300_000, 250_000
+# Pieces remembered beside whole lists of ids, in stages that share workers with others.
+FEW_PIECES = 60_000
 # Pieces, and ids, of one text handled at once.
 CHUNK = 50_000
 
@@ -312,7 +314,8 @@ class Decoder:
 class Codec:
     """A rank file and pattern made ready in a worker."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, pieces: int = MAX_PIECES):
+        self.most_pieces = pieces
         ranks = {
             base64.b64decode(token): int(rank)
             for token, rank in (line.split() for line in rank_file.splitlines() if line.strip())
@@ -343,7 +346,7 @@ class Codec:
         if len(text) < CHUNK:
             found = iter(self.pattern.findall(text))
         while chunk := list(islice(found, CHUNK)):
-            if len(self.pieces) >= MAX_PIECES:
+            if len(self.pieces) >= self.most_pieces:
                 self.older, self.pieces = self.pieces, {}
             pieces, older = self.pieces, self.older.get
             out = list(map(pieces.get, chunk))
@@ -381,6 +384,13 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _forget() -> None:
+    """Gives up a task's codec, so that idle workers hold no memory that others need."""
+    gc.unfreeze()
+    gc.collect()
+    gc.set_threshold(2000, 10, 10)
+
+
 class ByteBpe:
     """Encodes and decodes by the ranks in the file at ``path``, after splitting by ``pattern``.
 
@@ -403,22 +413,20 @@ class ByteBpe:
         names = schema.fieldNames()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = _codec(*sent.value)
+            codec = Codec(*sent.value, FEW_PIECES)
             for batch in slices(batches, column):
                 texts = batch.column(column).to_pylist()
                 ids, decodes = [], []
                 for text in texts:
-                    parts, decoder, data = [], codec.decoder(), b""
-                    for part in codec.encode(text or ""):
-                        parts.append(part)
-                        data += decoder.feed(part)
-                    data += decoder.finish()
-                    ids.append(list(chain.from_iterable(parts)))
-                    decodes.append(data == (text or "").encode())
+                    found, right = _checked(codec, text or "")
+                    ids.append(found)
+                    decodes.append(right)
                 kept = [batch.column(f.name) for f in fields]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(decodes)], names=names
                 )
+            del codec
+            _forget()
 
         return docs.mapInArrow(run, schema)
 
@@ -472,6 +480,20 @@ class ByteBpe:
         )
 
 
+def _checked(codec: Codec, text: str) -> tuple[np.ndarray, bool]:
+    """The ids of a text, and whether they decode to it, compared as they come."""
+    parts, decoder, wanted, at = [], codec.decoder(), text.encode(), 0
+    right = True
+    for part in codec.encode(text):
+        parts.append(np.array(part, np.int32))
+        data = decoder.feed(part)
+        right = right and wanted[at : at + len(data)] == data
+        at += len(data)
+    rest = decoder.finish()
+    right = right and wanted[at:] == rest
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), right
+
+
 def _digest(codec: Codec, text: str) -> tuple[int, str, str]:
     n, of_ids, of_bytes, decoder = 0, hashlib.sha256(), hashlib.sha256(), codec.decoder()
     for part in codec.coded(text):

@@ -281,6 +281,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("s1", "s2")
         .agg(F.min("doc_id").alias("x"), F.first(F.struct("n", "matches", "prefix")).alias("of"))
     )
+    # What is joined is written first, so that hot keys of the other side can be split.
+    classes = stored(classes)
     postings = classes.select("x", "of", F.posexplode("of.prefix").alias("place", "shingle"))
     postings = postings.select(
         "shingle", "x", _packed(F.col("of.n"), F.col("of.matches"), F.col("place").cast("long")).alias("x_about")
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.count("*").alias("length"),
     )
     heads = heads.where("length > 1").select("shingle", "head.x", "head.x_about")
-    heads = heads.toDF("shingle", "y", "y_about")
+    heads = stored(heads.toDF("shingle", "y", "y_about"))
     lists = stored(postings.join(heads, "shingle"))
 
     links = stored(_verified(docs, _candidates(lists.where("x <> y"))))
@@ -306,7 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("shingle").agg(
         F.min("in_x").alias("low"), F.max("in_x").alias("high"), F.min(_size("x_about")).alias("least")
     )
-    mixed = placed.join(mixed.where("low < high").select("shingle", "least"), "shingle")
+    mixed = stored(mixed.where("low < high").select("shingle", "least"))
+    mixed = placed.join(mixed, "shingle")
     mixed = mixed.where(_can_meet_from("least")).drop("least")
     other = mixed.toDF("shingle", "y", "y_about", "in_y")
     across = mixed.join(other, "shingle").where("x < y and in_x <> in_y")
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.join(roots, "node", "left").select(
         "s1", "s2", F.coalesce("root", "node").alias("found")
     )
-    return rows.join(members, ["s1", "s2"], "left").select(
+    return rows.join(stored(members), ["s1", "s2"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")).alias(

@@ -102,7 +102,9 @@ def listed(pages: DataFrame) -> DataFrame:
 def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a capture. Pages hold no time of fetching; their id gives the day."""
     pages = _table(spark, sf_dir, "pages")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 365).cast("int"))
+    # The remainder comes first, so that no id is too large to multiply.
+    place = F.pmod(F.col("page_id"), F.lit(365)) * 7919 % 365
+    day = F.date_add(F.lit("2024-01-01").cast("date"), place.cast("int"))
     captures = pages.select("page_id", "url", day.alias("fetched_on"))
     return apply_lists(captures, listed(pages))
 

@@ -182,6 +182,8 @@ class SuffixDedup:
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         found = texts.mapInArrow(self._find(), _FOUND)
         twice = found.groupBy("gram").count().where("count > 1").select("gram")
+        # Written first, so that a gram with a third of all places can be split in the join.
+        twice = stored(twice)
         found = stored(found.join(twice, "gram").select(*_names(_FOUND)))
 
         first = F.min(F.struct("doc_id", "text_key", "at", "shape")).alias("first")

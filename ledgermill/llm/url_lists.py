@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermill.llm.common import stored
+
 ACTIONS = ("block", "allow")
 
 
@@ -60,7 +62,7 @@ def apply_lists(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Verdict for each capture (page_id, url, fetched_on) by the entries active that day.
 
     Each capture asks for a handful of patterns. They are joined with the patterns' spans,
-    one row per pattern, so a host with a third of all captures can be split; the active
+    one row per pattern and written before, so a host with a third of all captures can be split; the active
     span is then looked up in the row. The most telling pattern with an active span
     decides. Returned are the captures with ``host``, ``verdict`` (block, allow or none),
     ``pattern`` and ``since`` of the entry that decided. A null or unreadable URL or a
@@ -70,7 +72,7 @@ def apply_lists(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = captures.select(
         "page_id", "url", "fetched_on", F.monotonically_increasing_id().alias("capture")
     ).select("*", F.posexplode_outer(patterns_of(F.col("url"))).alias("place", "pattern"))
-    known = asked.join(intervals(entries), "pattern", "left")
+    known = asked.join(stored(intervals(entries)), "pattern", "left")
     active = F.filter(
         "spans",
         lambda s: (s["since"] <= F.col("fetched_on"))

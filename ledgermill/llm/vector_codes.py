@@ -23,7 +23,7 @@ from ledgermill.llm.common import expand, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 # Vectors under one set of trees, and points of a ball that is not split.
-CHUNK, LEAF = 4096, 16
+CHUNK, LEAF = 4096, 32
 # Greatest size of a whole component; distances of longer vectors may not fit in 64 bits.
 GREATEST = 2**24
 

@@ -41,13 +41,13 @@ def with_first_copy(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> Dat
     """Pages (page_id, url, html) with ``payload`` and ``first_id``, the least id with that payload.
 
     The least id of each payload is found by an aggregation merged before the shuffle, and
-    joined back to the pages; it is unique for a payload, so a hot payload can be split.
+    joined back to the pages; it is written before, so a hot payload can be split.
     """
     rows = pages.select(
         "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("payload_key", F.sha2("payload", 256))
     first = rows.groupBy("payload_key").agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(first, "payload_key").drop("payload_key")
+    joined = rows.join(stored(first), "payload_key").drop("payload_key")
     small = F.octet_length("payload") < least_payload
     return joined.withColumn("first_id", F.when(small, F.col("page_id")).otherwise(F.col("first_id")))
 

@@ -74,3 +74,27 @@ def test_one_of_repeated_rows_and_null_ids_comes_out(llm_spark, oracle_dir):
     cut = corpus_pipeline.suffix_dedup(llm_spark, kept.withColumn("n_chars", F.length("text")), oracle_dir)
     clean = [r for r in wanted if r[1]]
     assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(clean, key=str)
+
+
+def test_columns_named_like_those_of_operators_pass_through(llm_spark, oracle_dir):
+    rng = random.Random(9)
+    english = llm_spark.read.parquet(f"{oracle_dir}/documents.parquet").where("n_chars > 900")
+    texts = [r.text for r in english.select("text", "doc_id").orderBy("doc_id").limit(6).collect()]
+    names = [
+        "ranges", "removed_ranges", "_row", "lang_pred", "score", "kept_text", "n_removed", "group",
+        "copies", "own_0", "span_doc", "row", "kept",
+    ]
+    ids = [None, -5, 2**62, 3, -(2**62), 4]
+    rows = [
+        (i, t, "en" if k % 2 else "de", *(f"{n} {k}" for n in names))
+        for k, (i, t) in enumerate(zip(ids, texts, strict=True))
+    ]
+    rng.shuffle(rows)
+    ddl = "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names)
+    docs = llm_spark.createDataFrame(rows, ddl)
+    given = {r[0]: r[2:] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stored(stage(llm_spark, docs, oracle_dir))
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+        for r in docs.collect():
+            assert tuple(r)[2:] == given[r.doc_id]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from ledgermill.llm.queries import op10_url_lists
 from ledgermill.llm.url_lists import apply_lists
 
 
@@ -55,3 +56,13 @@ def test_nothing_listed_and_nothing_captured(llm_spark):
     one = [(1, "http://a.b/", _day(1))]
     assert _apply(llm_spark, one, []) == [(1, "none", None, None)]
     assert _apply(llm_spark, [], [("a.b", "block", _day(1))]) == []
+
+
+def test_pages_of_any_id(llm_spark, tmp_path):
+    ids = [2**62, -(2**62), 2**63 - 1, -7, 0, None]
+    pages = [(i, "http://a.example.com/x", "<p>", "v") for i in ids] + [(5, None, None, None)]
+    schema = "page_id long, url string, html string, verdict string"
+    llm_spark.createDataFrame(pages, schema).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = op10_url_lists(llm_spark, str(tmp_path)).collect()
+    assert sorted((r.page_id for r in rows), key=str) == sorted([*ids, 5], key=str)
+    assert {r.fetched_on for r in rows if r.page_id in (0, None)} == {date(2024, 1, 1), None}
