@@ -10,7 +10,7 @@ says; empty tables pass through.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.llm.byte_bpe import ByteBpe
@@ -25,11 +25,26 @@ LEAST_SCORE = 0.5
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns but doc_id and text numbered, so that none clashes with those
+    that an operator adds."""
+    names = [c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names)
+
+
+def _named(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` under their names from ``rows``, which has them numbered."""
+    own = _apart(docs).columns
+    return rows.select(
+        *(new.get(c, F.col(o)).alias(c) for c, o in zip(docs.columns, own, strict=True))
+    )
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the network is sure of."""
     ship(spark)
     sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return LanguageId(docs).predict(docs).where(sure).select(*docs.columns)
+    return _named(LanguageId(docs).predict(_apart(docs)).where(sure), docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,24 +65,23 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = stored(groups.join(ids, "_row"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")
     firsts = groups.groupBy("group").agg(first, F.count("*").alias("members"))
-    firsts = firsts.where("members > 1").select("group", F.col("first._row").alias("kept"))
+    firsts = stored(firsts.where("members > 1").select("group", F.col("first._row").alias("kept")))
     marked = groups.join(firsts, "group", "left")
     others = marked.where("_row <> kept").select("_row")
     repeated = marked.where("copies > 1 and (kept is null or _row = kept)").select("_row")
-    left = docs.withColumn("_row", row).join(stored(others), "_row", "left_anti")
+    left = _apart(docs).withColumn("_row", row).join(stored(others), "_row", "left_anti")
     repeated = stored(repeated)
     once = left.join(repeated, "_row", "left_anti")
     again = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return once.unionByName(again).select(*docs.columns)
+    return _named(once.unionByName(again), docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated strings of 200 bytes out of the texts; documents of nothing else go."""
     ship(spark)
-    cut = SuffixDedup().remove(docs, as_text=True).where("kept_text <> ''")
+    cut = SuffixDedup().remove(_apart(docs), as_text=True).where("kept_text <> ''")
     text = F.col("kept_text")
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return _named(cut, docs, text=text, n_chars=F.length(text).cast("long"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
