@@ -267,7 +267,7 @@ def dq_cleaned(bronze: Tables, cleaned: Tables) -> DataFrame:
         for table, df in counts.items()
     )
     # One row per table, exchanged once for both checks.
-    rows = union_all(*named).repartition(1, "table_name")
+    rows = union_all(*named).repartition(2, "table_name")
     aside = rows.where(F.col("table_name").isin("orders", "lineitem"))
     return union_all(
         layer_counts(manifest(bronze), rows.select("table_name", "n_rows"), "silver"),
