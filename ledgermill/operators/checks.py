@@ -167,7 +167,7 @@ def row_recon(
     prints = _fingerprints(left, key, 1).unionByName(_fingerprints(right, key, -1))
     names = [name for name in prints.columns if name != "_bucket"]
     per_bucket = prints.groupBy("_bucket").agg(*(F.sum(name).alias(name) for name in names))
-    differ = reduce(lambda a, b: a | b, (F.col(name) != 0 for name in names if name != "total"))
+    differ = reduce(lambda a, b: a | b, (F.col(name) != 0 for name in names))
     # At most one number for each of RECON_BUCKETS.
     open_buckets = F.broadcast(per_bucket.filter(differ).select("_bucket"))
 
@@ -180,7 +180,8 @@ def row_recon(
     per_row = reduce(DataFrame.unionByName, sides).groupBy(*left.columns)
     surplus = per_row.agg(F.sum("_side").alias("surplus"))
     none = F.lit(0).cast("bigint")
-    counts = per_bucket.select("total", none.alias("failed")).unionByName(
+    total = left.agg(F.count(F.lit(1)).alias("total")).select("total", none.alias("failed"))
+    counts = total.unionByName(
         surplus.select(none.alias("total"), F.abs("surplus").alias("failed"))
     )
     counts = counts.agg(F.sum("total").alias("total"), F.sum("failed").alias("failed"))
@@ -205,7 +206,6 @@ def _fingerprints(side: DataFrame, key: str, sign: int) -> DataFrame:
         for half in (F.shiftrightunsigned(value, 32), value.bitwiseAND(0xFFFFFFFF))
     ]
     return side.groupBy(_bucket(key).alias("_bucket")).agg(
-        F.count(F.lit(max(sign, 0) or None)).alias("total"),
         (F.count(F.lit(1)) * sign).alias("rows"),
         *((F.sum(half) * sign).alias(f"print_{i}") for i, half in enumerate(halves)),
     )

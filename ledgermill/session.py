@@ -19,23 +19,31 @@ def get_spark(
     master: str | None = None,
     input_bytes: int | None = None,
     conf: dict[str, str] | None = None,
+    max_scan_tasks: int = MAX_SCAN_TASKS,
+    max_shuffle_partitions: int = MAX_SHUFFLE_PARTITIONS,
 ) -> SparkSession:
     """Session for the jobs.
 
     ``input_bytes`` is the size of the source tables. It sets how large a piece of
     a file each task reads, and how many shuffle partitions adaptive execution
     starts from; it then merges those that turn out small. Without it Spark's own
-    defaults apply.
+    defaults apply. ``max_scan_tasks`` and ``max_shuffle_partitions`` bound the two; tasks
+    of larger inputs grow.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for name, value in (settings_for(input_bytes) | (conf or {})).items():
+    settings = settings_for(input_bytes, max_scan_tasks, max_shuffle_partitions)
+    for name, value in (settings | (conf or {})).items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
-def settings_for(input_bytes: int | None) -> dict[str, str]:
+def settings_for(
+    input_bytes: int | None,
+    max_scan_tasks: int = MAX_SCAN_TASKS,
+    max_shuffle_partitions: int = MAX_SHUFFLE_PARTITIONS,
+) -> dict[str, str]:
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
@@ -54,9 +62,9 @@ def settings_for(input_bytes: int | None) -> dict[str, str]:
     if input_bytes is not None:
         partitions = max(200, math.ceil(input_bytes / TASK_BYTES))
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
-            min(partitions, MAX_SHUFFLE_PARTITIONS)
+            min(partitions, max_shuffle_partitions)
         )
         settings["spark.sql.files.maxPartitionBytes"] = str(
-            max(TASK_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))
+            max(TASK_BYTES, math.ceil(input_bytes / max_scan_tasks))
         )
     return settings
