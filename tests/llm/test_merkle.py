@@ -4,8 +4,6 @@ import hashlib
 import random
 import zlib
 
-import pytest
-
 from ledgermill.llm.merkle import MerkleTree, manifest
 
 COLUMNS = "doc_id long, source string, lang string, n_chars long, text string"
@@ -69,10 +67,9 @@ def found(docs, levels):
     return sorted((tuple(r) for r in manifest(docs, MerkleTree(levels)).collect()), key=str)
 
 
-@pytest.mark.parametrize("levels", [3, 12])
-def test_documents_agree_with_brute_force(documents, levels):
+def test_documents_agree_with_brute_force(documents):
     rows = documents.select("doc_id", "source", "lang", "n_chars", "text").collect()
-    got = found(documents, levels)
+    got = found(documents, 4)
     assert got == brute([tuple(r) for r in rows])
     assert {r[6] for r in got} == {True, False}
 
