@@ -130,6 +130,40 @@ def referential(
     return _result(counts, check_id, layer, table, severity)
 
 
+def references(
+    df: DataFrame, refs: Sequence[tuple[str, str, str, DataFrame]], layer: str, table: str, severity: str
+) -> DataFrame:
+    """``referential`` of several foreign keys (fk, referred table, pk, its rows) in one scan.
+
+    Every row gives one entry per key column, and entries are counted per column and value
+    before anything is shuffled. Keys are compared as bigint.
+    """
+    entry = [
+        F.struct(F.lit(fk).alias("fk"), F.col(fk).cast("bigint").alias("key")) for fk, *_ in refs
+    ]
+    entries = df.select(F.inline(F.array(*entry))).filter("key is not null")
+    per_key = entries.groupBy("fk", "key").agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(
+        DataFrame.unionByName,
+        (
+            ref.select(F.lit(fk).alias("fk"), F.col(pk).cast("bigint").alias("key"))
+            for fk, _, pk, ref in refs
+        ),
+    )
+    joined = per_key.join(known.withColumn("_known", F.lit(True)), ["fk", "key"], "left")
+    counts = joined.groupBy("fk").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0)).alias("failed"),
+    )
+    # A column without a single key is checked as well, with nothing to fail.
+    names = [
+        F.struct(F.lit(fk).alias("fk"), F.lit(f"referential:{table}.{fk}->{to}.{pk}").alias("check"))
+        for fk, to, pk, _ in refs
+    ]
+    every = df.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return _result(every.join(counts, "fk", "left"), F.col("check"), layer, table, severity)
+
+
 def layer_counts(
     expected: DataFrame, actual: DataFrame, layer: str, severity: str = ERROR
 ) -> DataFrame:

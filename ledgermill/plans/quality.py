@@ -29,7 +29,7 @@ from ledgermill.operators.checks import (
     in_range,
     layer_counts,
     not_null,
-    referential,
+    references,
     row_recon,
     row_rules,
     rule_counts,
@@ -150,20 +150,11 @@ def dq_referential(silver: Tables, parents: Tables | None = None) -> DataFrame:
     ``parents`` are the tables that references must resolve in; ``silver`` by default.
     """
     parents = silver if parents is None else parents
+    of: dict[str, list] = {}
+    for ref in FOREIGN_KEYS:
+        of.setdefault(ref.table, []).append((ref.fk, ref.ref_table, ref.pk, parents[ref.ref_table]))
     return union_all(
-        *(
-            referential(
-                silver[ref.table],
-                parents[ref.ref_table],
-                "silver",
-                ref.table,
-                ref.ref_table,
-                ref.fk,
-                ref.pk,
-                WARNING,
-            )
-            for ref in FOREIGN_KEYS
-        )
+        *(references(silver[table], refs, "silver", table, WARNING) for table, refs in of.items())
     )
 
 

@@ -79,6 +79,24 @@ def test_referential(spark):
     assert result.first().check_id == "referential:t.fk->r.pk"
 
 
+def test_references_of_a_table_share_one_scan_and_equal_each_alone(spark, small_dir):
+    df = spark.createDataFrame(
+        [(1, 7), (1, None), (9, 8), (9, 8), (None, 7)], "a int, b bigint"
+    ).withColumn("c", F.lit(None).cast("bigint"))
+    ref = spark.createDataFrame([(1,), (7,)], "pk bigint")
+    refs = [("a", "r", "pk", ref), ("b", "r", "pk", ref), ("c", "r", "pk", ref)]
+    result = checks.references(df, refs, "silver", "t", "error")
+    alone = union_all(
+        *(checks.referential(df, ref, "silver", "t", "r", fk, "pk", "error") for fk in "abc")
+    )
+    assert sorted(result.collect()) == sorted(alone.collect())
+    assert {(r.total, r.failed) for r in result.collect()} == {(4, 2), (0, 0)}
+    lines = spark.read.parquet(f"{small_dir}/lineitem.parquet")
+    few = [(fk, "r", "pk", ref) for fk in ("l_orderkey", "l_partkey")]
+    plan = checks.references(lines, few, "silver", "t", "error")._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("FileScan parquet") == 1
+
+
 def test_cross_column(spark):
     df = spark.createDataFrame(
         [(date(2000, 1, 1), date(2000, 1, 2)), (date(2000, 1, 3), date(2000, 1, 2)), (None, None)],
