@@ -396,7 +396,45 @@ SELECT page_id, host, fetched_on, coalesce(found.action, 'none') AS verdict, fou
 FROM captures LEFT JOIN decided USING (page_id)"""
 
 
+_SUFFIX_DEDUP = """
+WITH docs AS MATERIALIZED (
+    SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n
+    FROM documents
+),
+starts AS MATERIALIZED (
+    SELECT doc_id, i, md5_number(b[i + 1 : i + 200]) AS string
+    FROM (SELECT doc_id, b, unnest(range(n - 199)) AS i FROM docs WHERE n >= 200)
+),
+hits AS MATERIALIZED (
+    SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS apart
+    FROM starts JOIN (SELECT string FROM starts GROUP BY string HAVING count(*) > 1) USING (string)
+),
+runs AS MATERIALIZED (
+    SELECT doc_id, run, min(i) AS first, max(i) + 200 AS last
+    FROM (
+        SELECT doc_id, i, sum(CAST(coalesce(apart, true) AS INTEGER))
+            OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+        FROM hits
+    ) GROUP BY doc_id, run
+),
+kept AS (
+    -- What lies before each run, and after the last one.
+    SELECT doc_id, run, lag(last, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS first, first AS last FROM runs
+    UNION ALL
+    SELECT docs.doc_id, 1e9, coalesce(max(last), 0), any_value(n) FROM docs LEFT JOIN runs USING (doc_id) GROUP BY docs.doc_id
+),
+rests AS (
+    SELECT doc_id, sha256(unhex(string_agg(hex(b[first + 1 : last]), '' ORDER BY run))) AS kept_sha256
+    FROM kept JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM docs JOIN rests USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(last - first) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+    USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": _SUFFIX_DEDUP,
     "op2_ngram_jaccard": _near_duplicates(5),
     "op4_decontamination": _DECONTAMINATION,
     "op7_warc": _WARC,
