@@ -228,6 +228,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files go once the driver has collected what refers to them.
-    spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        # Shuffle files go once the driver has collected what refers to them.
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
