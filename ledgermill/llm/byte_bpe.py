@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import gc
 import hashlib
 from collections.abc import Iterator
@@ -389,6 +391,10 @@ def _forget() -> None:
     gc.unfreeze()
     gc.collect()
     gc.set_threshold(2000, 10, 10)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        # What was freed stays with the process until the C library is asked to return it.
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class ByteBpe:

@@ -90,3 +90,18 @@ def test_decoder_holds_back_unfinished_characters(codec):
         decoder = codec.decoder()
         data = decoder.feed([machine.ranks[bytes([b])] for b in bad]) + decoder.finish()
         assert data == bad and not decoder.valid
+
+
+def test_memory_of_a_task_is_returned(monkeypatch):
+    from ledgermill.llm import byte_bpe
+
+    called = []
+
+    class Library:
+        @staticmethod
+        def malloc_trim(left):
+            called.append(left)
+
+    monkeypatch.setattr("ctypes.CDLL", lambda name: Library)
+    byte_bpe._forget()
+    assert called == [0]
