@@ -202,3 +202,13 @@ def test_gate_stops_on_errors_only(spark):
     failed = checks.row_rules(df, "silver", "t", [checks.not_null("t", "a", "error")])
     with pytest.raises(checks.DataQualityError, match=r"not_null:t.a \(1 of 1\)"):
         checks.gate(union_all(warned, failed))
+
+
+def test_rows_that_differ_by_which_of_many_columns_is_null(spark):
+    names = [f"c{i}" for i in range(40)]
+    ddl = ", ".join(f"{name} int" for name in ["k", *names])
+    rows = [(1, *(None if i == at else 5 for i in range(40))) for at in (2, 3, 35, 36)]
+    for a in rows:
+        for b in rows[:2]:
+            left, right = spark.createDataFrame([a], ddl), spark.createDataFrame([b], ddl)
+            assert checks.row_recon(left, right, "gold", "t", "id").first().failed == (0 if a == b else 2)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgermill.registry import QUERIES
 from ledgermill.operators.dedup import exact_dedup
 from ledgermill.operators.foreign_keys import mark_orphans, orphan_keys, split_fk
-from ledgermill.plans import analytics, gold
+from ledgermill.plans import analytics, gold, quality
 from ledgermill.registry import Chain
 from ledgermill.sources.layers import read_layer, spread_for_write, write_layer
 
@@ -207,3 +207,9 @@ def test_layer_counts_scan_each_table_twice(spark, small_dir):
     """Once as it came, once cleaned; which rows are orphans is not worked out."""
     text = plan(QUERIES["dq_layer_counts"](spark, small_dir))
     assert text.count("lineitem.parquet") == 2 and text.count("orders.parquet") == 2
+
+
+def test_both_checks_of_cleaned_tables_read_them_once(chain):
+    text = final_plan(quality.dq_cleaned(chain.bronze, chain.cleaned))
+    counted = [line for line in text.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(counted) == 3 and sum("ReusedExchange" in line for line in counted) == 2
